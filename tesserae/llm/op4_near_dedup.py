@@ -4,11 +4,14 @@
    hashes. Equal sets collapse to their smallest document.
 2. Inverted lists of the `LISTED` smallest values give candidates. Of two sets with similarity s, each of the
    smallest values of the union is common with chance s, so at s = 0.8 they miss each other in all lists with
-   a chance under 1e-10. Only lists of up to `SHORT` sets give all their pairs; each longer one first gives
-   pairs with one member of its own, by hash.
-3. Sets left with few values in short lists (large groups of near copies, texts that are mostly one common
-   passage) get lists by pairs of neighbouring values of the whole sketch as well. Members of a long list of
-   this kind that are not yet in one component with its chosen member are compared with all members.
+   a chance under 1e-10. Lists of up to `SHORT` sets give all their pairs, those with one chosen member first.
+3. Longer lists come from large groups of near copies or from common passages. Sets that have enough values in
+   short lists need them not. For the others, each long list and class of sizes has a pivot, its most popular
+   member, and each member is compared with it alone. Members x, y that aren't both linked with pivot h are
+   found by what they share of their deviations from it: with Z the symmetric difference of a set and h, x and
+   y are linked only if |Zx ^ Zy| <= c (|x| + |y|), c = (1 - s) / (1 + s), while |Zx| > c (|x| + |h|) if x isn't
+   linked with h; so they must share more than (|Zy| - c (|y| - |h|)) / 2 deviations. Prefixes of Z, rarest
+   elements first, then hold a common element for certain, and lists of these elements are short.
 4. Sketches of a candidate pair give the sketch of the union and so an estimate; pairs clearly below the
    threshold end there. The rest is confirmed by integer arithmetic on full sets, which a second scan sends
    for the documents concerned.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Numbered, Words, as_bytes, chunks, grams, mix, stored, write_side
@@ -28,7 +31,7 @@ from tesserae.llm.components import components
 SKETCH, LISTED, SHORT = 64, 16, 24
 #: An estimate so far under the threshold ends a pair: over five standard errors of a sketch of 64.
 SLACK = 0.3
-#: Sets with fewer values than this in short lists are looked up by pairs of values too.
+#: Sets with fewer values than this in short lists are compared with the pivots of their long lists.
 ENOUGH = 8
 
 _SKETCHED = "pid int, pos long, doc_id long, n long, a long, b long, sketch binary"
@@ -70,14 +73,13 @@ def sketches(scan: Numbered, k: int) -> DataFrame:
     return scan.scan(step, _SKETCHED, ["text"])
 
 
-def _lists(sets: DataFrame, pairs: bool) -> DataFrame:
-    """v, doc, n: a row for each listed value (or for each two neighbouring values) of each sketch."""
+def _lists(sets: DataFrame, listed: int = LISTED) -> DataFrame:
+    """v, doc, n: a row for each of the first `listed` values of each sketch."""
 
     def run(batches):
         for batch in batches:
             docs, ns, data = batch.column("doc").to_numpy(), batch.column("n").to_numpy(), batch.column("sketch").to_pylist()
-            values = [np.frombuffer(x, np.uint64) for x in data]
-            values = [grams(v, 2, 1) for v in values] if pairs else [v[:LISTED] for v in values]
+            values = [np.frombuffer(x, np.uint64)[:listed] for x in data]
             sizes = [len(v) for v in values]
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.repeat(docs, sizes)), pa.array(np.repeat(ns, sizes))], ["v", "doc", "n"])
@@ -115,8 +117,20 @@ def _estimated(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return pairs.mapInArrow(run, "x long, y long")
 
 
-def _confirmed(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _deviation(x: np.ndarray, h: np.ndarray, linked: bool, percent: int) -> tuple[np.ndarray, int, int]:
+    """x's deviation from h, and how many of its rarest elements must be listed to meet an unlinked set (for an
+    unlinked x: to meet another unlinked one) and, for an unlinked x, to meet a linked one."""
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    z = np.setxor1d(x, h, assume_unique=True)
+    half = len(z) - int(max(0.0, (len(z) - c * (len(x) - len(h))) / 2 - 1e-9))
+    wide = int(c * len(x) * (1 + 1 / t) + 1e-9) + 1
+    return (z, half, 0) if linked else (z, min(half, wide), wide)
+
+
+def _compared(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs x, y, pivot compared by full sets: rows (x, y, z null) of links with 100 * intersection >= percent *
+    union and, if y is a pivot, rows (x, y, z, linked, half, wide, m) of x's deviation from it, which has m elements."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     side = write_side(sketched.where("n > 0").select("pid", "doc_id", "pos").join(wanted, "doc_id", "left_semi"), "wanted")
@@ -126,7 +140,7 @@ def _confirmed(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, pe
         rows = dict(zip(table.column("pos").to_pylist(), table.column("doc_id").to_pylist(), strict=True)) if table else {}
         pos = 0
         for batch in batches:
-            texts = as_bytes(batch.column("text").cast(pa.binary()))
+            texts = as_bytes(batch.column("text"))
             mine = [(rows[pos + i], texts[i]) for i in range(len(texts)) if pos + i in rows]
             pos += len(texts)
             own = [t for _, t in mine]
@@ -139,14 +153,21 @@ def _confirmed(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, pe
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for mx, my in zip(batch.column("mx").to_pylist(), batch.column("my").to_pylist(), strict=True):
+            out = []
+            for x, y, pivot, mx, my in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "pivot", "mx", "my")), strict=True):
                 a, b = np.frombuffer(mx, np.uint64), np.frombuffer(my, np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                linked = 100 * common >= percent * (len(a) + len(b) - common)
+                if linked:
+                    out.append(([x], [y], [None], [True], [0], [0], [0]))
+                if pivot:
+                    z, half, wide = _deviation(a, b, linked, percent)
+                    out.append(([x] * len(z), [y] * len(z), z.view(np.int64).tolist(), [linked] * len(z), [half] * len(z), [wide] * len(z), [len(z)] * len(z)))
+            if out:
+                kinds = [*[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[i]], t) for i, t in enumerate(kinds)], ["x", "y", "z", "linked", "half", "wide", "m"])
 
-    return stored(both.select("x", "y", "mx", "my").mapInArrow(run, "x long, y long").distinct(), "links")
+    return stored(both.select("x", "y", "pivot", "mx", "my").mapInArrow(run, "x long, y long, z long, linked boolean, half long, wide long, m long"), "compared")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Numbered, DataFrame]:
@@ -160,46 +181,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Num
     sketched = stored(sketches(scan, k).where("doc_id is not null"), "sketches")
     sets = stored(sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "sets")
 
-    lists = _lists(sets, False)
+    lists = _lists(sets)
     heads = stored(_chosen(lists), "heads")
     listed = stored(lists.join(heads, "v"), "listed")  # no value that only one set has
     short = listed.where(F.col("size") <= SHORT)
     hot = listed.where(F.col("size") > SHORT)
-    # sets with too few values in short lists or in none at all: all others in their long lists are known
+    # sets with enough values in short lists or in none at all meet their like there
     crowded = hot.groupBy("doc").agg(F.count(F.lit(1)).alias("hot"))
     few = sets.join(crowded, "doc").where(f"least(n, {LISTED}) - hot < least({ENOUGH}, 0.25 * n + 1)").select("doc", "n", "sketch")
-    paired = _lists(few, True)
-    pair_heads = stored(_chosen(paired), "heads")
-    paired = stored(paired.join(pair_heads, "v"), "paired")
-
-    similar = _similar_sizes("n", "head_n", percent)
-    first = (
-        listed.where(similar).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y"))
-        .unionByName(paired.where(similar).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y")))
-        .where("x < y").distinct()
-    )
-    links = _confirmed(scan, _estimated(first, sets, percent), sketched, k, percent)
+    # the member whose whole sketch is most common stands nearest to the text that the others are copies of
+    spread = _lists(few, SKETCH)
+    common = spread.join(spread.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v").groupBy("doc").agg(F.sum("c").alias("popular"))
+    few = stored(common, "few")
+    # sizes of linked sets are in one class or in neighbouring ones
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("long")
+    long_lists = hot.join(few, "doc").withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("v", "class").alias("v"), "doc", "n", "popular")
+    pivots = long_lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("popular", F.xxhash64("doc").alias("h"), "doc")).alias("p")).where("size > 1").select("v", "size", F.col("p.doc").alias("head"))
+    pivoted = stored(long_lists.join(pivots, "v"), "pivoted")
+    short = short.select("v", "doc", "n", "head", "head_n").unionByName(pivoted.where(F.col("size") <= SHORT).select("v", "doc", "n", "head", F.col("n").alias("head_n")))
+
+    starred = short.where(_similar_sizes("n", "head_n", percent)).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y")).where("x < y").distinct()
+    to_pivot = pivoted.where(F.col("size") > SHORT).select(F.col("doc").alias("x"), F.col("head").alias("y")).where("x <> y").distinct()
+    first = _estimated(starred, sets, percent).withColumn("pivot", F.lit(False)).unionByName(to_pivot.withColumn("pivot", F.lit(True)))
+    compared = _compared(scan, first, sketched, k, percent)
+    links = compared.where("z is null").select("x", "y")
     known = stored(components(links), "components")
 
     def placed(rows):
         return rows.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
-    def other_pairs(left, right):
-        a, b = (x.select("v", F.col("doc").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}")) for x, d in ((left, "x"), (right, "y")))
-        return a.join(b, "v").where(f"cx <> cy and {_similar_sizes('nx', 'ny', percent)}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-
-    def mixed(rows):
-        """Lists that hold more than one component."""
-        many = rows.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
-        return rows.join(many, "v", "left_semi")
-
-    rest = stored(mixed(placed(short.unionByName(paired.where(F.col("size") <= SHORT)))), "rest")
-    long_lists = placed(paired.where(F.col("size") > SHORT))
-    head_of = long_lists.where("doc = head").select("v", F.col("component").alias("ch"))
-    apart = long_lists.join(head_of, "v")
-    second = other_pairs(rest, rest).unionByName(other_pairs(apart.where("component <> ch"), long_lists)).distinct()
-    more = _confirmed(scan, _estimated(second, sets, percent), sketched, k, percent)
-    found = components(links.unionByName(more))
+    def met(left, right, on, more="true"):
+        """Pairs of rows that meet, in different components so far and of similar sizes."""
+        a, b = (x.select(*on, *(F.col(c).alias(c + d) for c in x.columns if c not in on)).withColumnRenamed(f"doc{d}", d) for x, d in ((left, "x"), (right, "y")))
+        met_ = f"componentx <> componenty and {_similar_sizes('nx', 'ny', percent)} and {more}"
+        return a.join(b, on).where(met_).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    near = f"abs(mx - my) * {100 + percent} <= {100 - percent} * (nx + ny)"  # |Zx ^ Zy| can't be less
+    mixed = placed(short)
+    many = mixed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
+    rest = stored(mixed.join(many, "v", "left_semi"), "rest")
+    deviations = compared.where("z is not null").withColumnsRenamed({"x": "doc", "y": "h"})
+    common = deviations.groupBy("h", "z").agg(F.count(F.lit(1)).alias("size"))
+    ranked = deviations.join(common, ["h", "z"]).withColumn("rank", F.row_number().over(Window.partitionBy("h", "doc").orderBy("size", "z")))
+    listed = ranked.where("size > 1 and rank <= greatest(half, wide)").join(sets.select("doc", "n"), "doc")
+    listed = stored(placed(listed).select("h", "z", "doc", "n", "m", "component", "linked", (F.col("rank") <= F.col("half")).alias("half")), "deviations")
+    apart = listed.where("not linked")
+    second = (
+        met(rest, rest, ["v"]).unionByName(met(apart.where("half"), apart.where("half"), ["h", "z"], near))
+        .unionByName(met(apart, listed.where("linked and half"), ["h", "z"], near)).distinct()
+    )
+    more = _compared(scan, _estimated(second, sets, percent).withColumn("pivot", F.lit(False)), sketched, k, percent)
+    found = components(links.unionByName(more.select("x", "y")))
 
     of_set = sets.select("n", "a", "b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
     rows = sketched.select("pid", "pos", "doc_id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
