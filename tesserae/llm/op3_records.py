@@ -14,9 +14,11 @@ repeated task leaves no half file behind that a reader could see.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import chunks, file_system, work_dir
 
-#: Words that a task remembers the ids of.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers the ids of.
+REMEMBERED = 800_000
+#: A run of letters and a run of these marks are never joined by the byte-level BPE; the words are known apart.
+_MARKED = re.compile(r"([^\W\d_]+)([,.;:!?%&$*#]+)")
 _INDEX = "<qqq"
 
 
@@ -69,15 +73,17 @@ class Encoder:
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        #: words to the ids of a space and the word; None for words that don't stand free (empty, white space at an end)
+        self.known: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        kind = np.uint16 if self.width == 2 else np.uint32
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
+    def pieces(parts: list[str]) -> list[str]:
+        """Pieces of a text with white space of other kinds than single spaces between words."""
         out = [parts[0]]
         for p in parts[1:]:
             last = out[-1]
@@ -90,17 +96,43 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._packed(texts)
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        cut = [t.split(" ") for t in texts]
         known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        long = {}
-        for p, ids in zip(new, self._packed(new), strict=True):
-            (known if len(p) < 64 else long)[p] = ids
-        if not long:
-            return [b"".join([known[p] for p in c]) for c in cut]
-        return [b"".join([known.get(p) or long.get(p, b"") for p in c]) for c in cut]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = set().union(*cut).difference(known)
+        marked = [m for m in map(_MARKED.fullmatch, new) if m]
+        plain = new.difference([m[0] for m in marked]).union([m[1] for m in marked]).difference(known)
+        free = [w for w in plain if w and not w[0].isspace() and not w[-1].isspace()]
+        known.update(dict.fromkeys(plain))
+        known.update(zip(free, self._packed([" " + w for w in free]), strict=True))
+        marks = list({m[2] for m in marked}.difference(self.marks))
+        if len(self.marks) > REMEMBERED // 10:
+            self.marks.clear()
+            marks = list({m[2] for m in marked})
+        self.marks.update(zip(marks, self._packed(marks), strict=True))
+        known.update([(m[0], known[m[1]] + self.marks[m[2]]) for m in marked])
+        heads = self._packed([c[0] for c in cut])
+        out = []
+        for c, head in zip(cut, heads, strict=True):
+            ids = [known[w] for w in c[1:]]
+            if (None in ids) or (len(c) > 1 and known[c[0]] is None):
+                out.append(b"".join(self._packed(self.pieces(c))))
+            else:
+                out.append(head + b"".join(ids))
+        for w in [w for w in (*new, *plain) if len(w) > 64]:
+            known.pop(w, None)
+        return out
+
+
+_ENCODERS: dict = {}
+
+
+def encoder_of(path: str, whole: bool) -> Encoder:
+    """One encoder for each Python worker, which keeps what it remembers from task to task."""
+    if (path, whole) not in _ENCODERS:
+        _ENCODERS[path, whole] = Encoder(path, whole)
+    return _ENCODERS[path, whole]
 
 
 def _bounds(docs: DataFrame, shards: int) -> np.ndarray:
@@ -122,7 +154,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0,
     folder = work_dir(spark, "records")
 
     def encode(batches):
-        encoder = Encoder(tokenizer_path, whole)
+        encoder = encoder_of(tokenizer_path, whole)
         end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
         head = bytes([encoder.width])
         for batch in batches:

@@ -4,8 +4,9 @@ An Aho-Corasick automaton over the pieces runs once over the text; at each posit
 pieces that end there, longest first, and each relaxes the best score of that position (Viterbi in one pass).
 Characters that no piece covers become byte pieces. Scores are those of the model file.
 
-No piece of the files in use holds the space mark after another character, so a text may be cut before its
-runs of space marks and the paths of the parts joined; that is verified on loading (else texts stay whole).
+No path crosses a place between two characters that follow each other in no piece, so a text is cut there and
+the paths of its parts are joined; parts, words for the most part, are remembered. Where some piece holds the
+space mark after another character, texts aren't cut at spaces first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import as_bytes, chunks
 
 SPACE = "▁"
-#: Parts of texts that a task remembers the pieces of, and their longest length.
-REMEMBERED, LONGEST = 400_000, 48
+#: Parts of texts that a Python worker remembers the pieces of, and their longest length.
+REMEMBERED, LONGEST = 800_000, 48
 
 
 class Pieces:
@@ -39,7 +41,9 @@ class Pieces:
         self.single = {p for p in normal if len(p) == 1}
         self.unknown = min(s for _, s in normal.values()) - 10.0
         self.cut = all(SPACE not in p.lstrip(SPACE) for p in normal)
+        self.joined = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -89,8 +93,21 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def _packed(self, part: str) -> bytes:
-        return np.array(self.path(part), "<u4").tobytes()
+    def _packed(self, s: str) -> bytes:
+        joined, at, out = self.joined, 0, []
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in joined]
+        if len(self.parts) > REMEMBERED // 2:
+            self.parts.clear()
+        for end in (*cuts, len(s)):
+            part = s[at:end]
+            got = self.parts.get(part)
+            if got is None:
+                got = array("I", self.path(part)).tobytes()
+                if len(part) <= LONGEST:
+                    self.parts[part] = got
+            out.append(got)
+            at = end
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -126,11 +143,21 @@ class Pieces:
         return out[1:] if self.prefix and out[:1] == " " else out
 
 
+_LOADED: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One automaton for each Python worker, which keeps what it remembers from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = Pieces.load(path)
+    return _LOADED[path]
+
+
 def _each(docs: DataFrame, model_path: str, schema: str, row) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        pieces = Pieces.load(model_path)
+        pieces = pieces_of(model_path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             for a, b in chunks(texts):
@@ -170,7 +197,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids give a null text."""
 
     def run(batches):
-        pieces = Pieces.load(model_path)
+        pieces = pieces_of(model_path)
         for batch in batches:
             texts = [None if x is None else pieces.decode(struct.pack(f"<{len(x)}I", *x)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
