@@ -1,11 +1,491 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library with their SQL. Each runs an operator over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import text as T
+from tesserae.operators import curation, evaluation, retrieval, sampling, scoring
+from tesserae.streaming import telemetry
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def long(c: str) -> F.Column:
+    return F.col(c).cast("long").alias(c)
+
+
+# ---------------------------------------------------------------- retrieval
+
+_STOPS = "('" + "','".join(T.STOP_TERMS) + "')"
+_TOKENS = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*'), lambda t: len(t) > 1 and t not in " + _STOPS + ")"
+_BM25 = f"""
+chunk as (select doc_id chunk_id, source, '' heading, text from documents),
+bag as (select chunk_id, unnest({_TOKENS.format(x="concat_ws(chr(10), source, source, heading, heading, text)")}) term from chunk),
+post as (select chunk_id, term, count(*) tf from bag group by all),
+lens as (select chunk_id, sum(tf) len from post group by all),
+world as (select (select count(*) from chunk) n, (select sum(tf) from post) / (select count(*) from chunk) mean_len),
+terms as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) idf from post, world group by term, n),
+asked as (select item_id query_id, term, count(*) qf from (select item_id, unnest({_TOKENS.format(x="text")}) term from benchmark) group by all),
+scored as (select query_id, chunk_id, round(sum(idf * (1 + ln(qf)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len))), 6) score
+  from asked join terms using (term) join post using (term) join lens using (chunk_id), world group by all),
+capped as (select s.*, c.source, c.text, row_number() over (partition by query_id, c.source order by score desc, s.chunk_id) s from scored s join chunk c using (chunk_id)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from capped where s <= 2)
+"""
+
+
+def _chunk(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.lit("").alias("heading"), "text")
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("retrieval_bm25_top4", f"with {_BM25} select query_id, cast(r as integer) rnk, chunk_id, source, score from ranked where r <= 4")
+def _(spark, sf):
+    return retrieval.search(_chunk(spark, sf), _asked(spark, sf)).select("query_id", F.col("rank").alias("rnk"), "chunk_id", "source", "score")
+
+
+_CLASS = "case when length(regexp_replace(text, '\\s+', '', 'g')) = 0 then 'noise' when regexp_matches(source, '(?i)answers?\\b|solution') then 'answer-bearing' when regexp_matches(source, '(?i)(^|[^a-z0-9])(quiz|exam)($|[^a-z0-9])') then 'question-only' else 'reference' end"
+
+
+@query("retrieval_quality_rerank", f"with {_BM25}, w as (select *, 1.0 / (60 + r) sc from ranked where r <= 20) select query_id, cast(row_number() over (partition by query_id order by sc desc, score desc, source, chunk_id) as integer) rnk, chunk_id, round(sc, 9) score, score raw_score from w qualify row_number() over (partition by query_id order by sc desc, score desc, source, chunk_id) <= 4")
+def _(spark, sf):
+    out = retrieval.search(_chunk(spark, sf), _asked(spark, sf), candidate_k=20, quality_rerank=True)
+    return out.select("query_id", F.col("rank").alias("rnk"), "chunk_id", F.round("score", 9).alias("score"), "raw_score")
+
+
+@query("retrieval_rank_fusion", f"with {_BM25}, c as (select *, row_number() over (partition by query_id order by length(text) desc, r) sr from ranked where r <= 10), f as (select *, 1.0 / (60 + r) + 1.0 / (60 + sr) sc from c) select query_id, chunk_id, cast(row_number() over (partition by query_id order by round(sc, 9) desc, score desc, source, chunk_id) as integer) rnk, round(sc, 9) score from f")
+def _(spark, sf):
+    """Text length stands for a semantic score."""
+    found = retrieval.search(_chunk(spark, sf), _asked(spark, sf), top_k=10)
+    with_semantic = found.join(_chunk(spark, sf).select("chunk_id", F.length("text").cast("double").alias("semantic")), "chunk_id")
+    return retrieval.reciprocal_rank_fusion(with_semantic).select("query_id", "chunk_id", F.col("rank").alias("rnk"), F.round("score", 9).alias("score"))
+
+
+@query("retrieval_postings", f"with bag as (select doc_id, unnest({_TOKENS.format(x='text')}) term from documents), p as (select term, doc_id, count(*) tf from bag group by all) select term, count(*) df, cast(sum(tf) as bigint) cf from p group by term")
+def _(spark, sf):
+    chunk = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("heading"), "text")
+    return retrieval.postings(chunk).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("retrieval_category_counts", f"with c as (select {_CLASS} quality_category from documents), k as (select unnest(['answer-bearing', 'reference', 'question-only', 'noise']) quality_category) select k.quality_category, count(c.quality_category) n from k left join c using (quality_category) group by all")
+def _(spark, sf):
+    return retrieval.category_counts(_chunk(spark, sf))
+
+
+@query("retrieval_dense_top5", "with q as (select label, min(vec_id) vec_id from embeddings group by label), v as (select vec_id, [cast(x as double) / sqrt(list_inner_product([cast(y as double) for y in embedding], [cast(y as double) for y in embedding])) for x in embedding] e from embeddings), s as (select q.label, v.vec_id, round(list_inner_product(v.e, w.e), 6) score from q join v w on w.vec_id = q.vec_id join v on v.vec_id <> q.vec_id) select label, vec_id, score, cast(row_number() over (partition by label order by score desc, vec_id) as integer) rnk from s qualify row_number() over (partition by label order by score desc, vec_id) <= 5")
+def _(spark, sf):
+    """One query vector for each label: a label set is bounded, and Spark broadcasts it by its own size check."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", retrieval.normalised(F.col("embedding")).alias("e"))
+    q = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("q"), F.min("vec_id").alias("own"))
+    s = v.drop("label").join(q, F.col("vec_id") != F.col("own")).select("label", "vec_id", F.round(retrieval.dot(F.col("e"), F.col("q")), 6).alias("score"))
+    return s.withColumn("rnk", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("rnk <= 5")
+
+
+@query("retrieval_chunks")
+def _(spark, sf):
+    return retrieval.chunks(table(spark, sf, "documents"))
+
+
+@query("retrieval_evidence", f"with {_BM25}, t as (select query_id, string_agg(text, chr(10) order by r) t from ranked where r <= 4 group by query_id), n as (select item_id query_id, regexp_replace(lower(b.text), '[\\s，,。．.、；;：:！!？?\"''`（）()【】\\[\\]{{}}<>]+', '', 'g') p, regexp_replace(lower(t.t), '[\\s，,。．.、；;：:！!？?\"''`（）()【】\\[\\]{{}}<>]+', '', 'g') e from benchmark b left join t on t.query_id = b.item_id) select query_id, cast(coalesce(contains(e, p), false) as bigint) hits, cast(coalesce(contains(e, p), false) as double) coverage from n")
+def _(spark, sf):
+    """Each item is its own only point: is it contained in its evidence?"""
+    chunk, asked = _chunk(spark, sf), _asked(spark, sf)
+    ranked = retrieval.search(chunk, asked).join(chunk.select("chunk_id", "text"), "chunk_id")
+    gold = asked.select("query_id", F.array(F.array(T.answer_free(F.col("query")))).alias("points"))
+    return retrieval.evidence_coverage(ranked, gold, 4)
+
+
+@query("retrieval_snippets")
+def _(spark, sf):
+    chunk, asked = _chunk(spark, sf), _asked(spark, sf)
+    found = retrieval.search(chunk, asked).join(chunk.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    return found.select("query_id", F.col("rank").alias("rnk"), T.snippet(F.col("text"), F.col("query"), 520).alias("snippet"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("text_question_context", "select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) context, sha256(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[\\s，,。．.、；;：:！!？?\"''`（）()【】\\[\\]{}<>]+', '', 'g')) fingerprint from conversations")
+def _(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.question_context(c).alias("context"), T.fingerprint(c).alias("fingerprint"))
+
+
+@query("text_answer_norm", "select doc_id, md5(regexp_replace(lower(trim(text)), '[，,。．\\.、；;：:！!？\\?\"''`（）()【】\\[\\]/／\\\\\\s]+', '', 'g')) norm from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.answer_norm(F.col("text"))).alias("norm"))
+
+
+@query("text_search_action", "select event_id, case when event_type in ('click', 'view') then event_type || ' ' || user_id when event_type = 'error' then '' end q from events")
+def _(spark, sf):
+    """Actions made of event fields, open, closed, blank or absent."""
+    made = F.when(F.col("event_type") == "click", F.concat(F.lit("a <search>no</search> <SEARCH x=1> click\n "), F.col("user_id"), F.lit("</search> b"))).when(F.col("event_type") == "view", F.concat(F.lit("<search>view  "), F.col("user_id"))).when(F.col("event_type") == "error", F.lit("x <search> </search>")).otherwise(F.lit("none"))
+    return table(spark, sf, "events").select("event_id", T.search_query(made).alias("q"))
+
+
+@query("text_keypoints", "with p as (select p_partkey, list_filter(list_distinct([regexp_replace(lower(x), '[\\s.,]+', '', 'g') for x in string_split(p_name, ' ')]), lambda x: x <> '') a from part) select p_partkey, cast(len(a) as bigint) n_points, cast(len(list_filter(a, lambda x: contains('steel copper brass green blue red', x))) as bigint) n_hits from p")
+def _(spark, sf):
+    """A part's words as points of an open answer, looked for in a fixed text."""
+    words = F.array_distinct(F.split("p_name", " "))
+    points = T.keypoints(F.concat(F.lit("[short] "), F.array_join(words, "|||")))
+    hits = T.keypoint_hits(F.lit("steel copper brass green blue red"), points)
+    return table(spark, sf, "part").select("p_partkey", F.size(points).cast("long").alias("n_points"), F.size(hits).cast("long").alias("n_hits"))
+
+
+@query("text_log_lines", "select event_id, '2024-01-02 03:04:05 ' || event_type || ' done' line from events where event_id % 2 = 0 union all select event_id, '2024-05-06 07:08:09 INFO ' || event_type from events where event_id % 2 = 1")
+def _(spark, sf):
+    now = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    colour, partial = F.concat(F.lit("\x1b[36m(Worker pid=12, ip=1.2.3.4)\x1b[0m "), F.col("event_type"), F.lit(" done")), F.concat(F.lit("INFO 05-06 07:08:09 "), F.col("event_type"))
+    line = F.when(F.col("event_id") % 2 == 0, colour).otherwise(partial)
+    return table(spark, sf, "events").select("event_id", T.clean_log_line(line, now).alias("line"))
+
+
+@query("text_metric_scalar", "select event_id, case when event_id % 4 = 0 then 1.0::double when event_id % 4 = 1 then round(value, 6) when event_id % 4 = 2 then round((value + 1) / 2, 6) end v from events")
+def _(spark, sf):
+    v = F.col("value").cast("string")
+    made = F.when(F.col("event_id") % 4 == 0, "true").when(F.col("event_id") % 4 == 1, v).when(F.col("event_id") % 4 == 2, F.concat(F.lit("["), v, F.lit(", 1, x]"))).otherwise("n/a")
+    return table(spark, sf, "events").withColumn("m", made).select("event_id", F.round(telemetry.scalar("m"), 6).alias("v"))
+
+
+@query("text_bigram_similarity", "with p as (select c_custkey, lower(c_mktsegment) a, lower(c_name) b from customer), g as (select c_custkey, list_distinct([a[i:i+1] for i in range(1, len(a))]) x, list_distinct([b[i:i+1] for i in range(1, len(b))]) y from p) select c_custkey, round(len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))), 6) s from g")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.round(T.bigram_similarity(F.lower("c_mktsegment"), F.lower("c_name")), 6).alias("s"))
+
+
+@query("text_bank_cells", "select p_partkey, nullif(array_to_string(list_distinct(regexp_extract_all(upper(p_type), '[A-L]')), ''), '') letters, regexp_replace(trim(p_name), '\\s+', ' ', 'g') cell from part")
+def _(spark, sf):
+    out = table(spark, sf, "part").select("p_partkey", T.choice_answer(F.col("p_type"), False).alias("letters"), T.clean_cell(F.col("p_name")).alias("cell"))
+    return out
+
+
+_SQL["text_bank_cells"] = "with l as (select p_partkey, p_name, regexp_extract_all(upper(p_type), '[A-L]') r from part) select p_partkey, nullif(array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ''), '') letters, regexp_replace(trim(p_name), '\\s+', ' ', 'g') cell from l"
+
+# ---------------------------------------------------------------- scoring
+
+
+@query("scoring_rule_reward", """with e as (select event_id, event_type t, (event_id % 5) k from events)
+select event_id, case when k = 0 then -0.5::double when k = 1 then case when t = 'click' then 1.0 else 0.0 end when k = 2 then case when t = 'view' then 0.5 else 1.0 end when k = 3 then 0.5 else case when t = 'click' then 1.0 else 0.5 end end reward from e""")
+def _(spark, sf):
+    """Typed gold strings and completions made of event fields: no box, single, multiple, fill and short."""
+    k, t = F.col("event_id") % 5, F.col("event_type")
+    expected = F.when(k <= 1, "[single] B").when(k == 2, "[multiple] AC").when(k == 3, "[fill] yes|||7").otherwise("[short] click|||wafer")
+    completion = (
+        F.when(k == 0, "no box").when(k == 1, F.concat(F.lit("\\boxed{"), F.when(t == "click", "b").otherwise("A"), F.lit("}")))
+        .when(k == 2, F.when(t == "view", "\\boxed{A}").otherwise("\\boxed{C, A}")).when(k == 3, "\\boxed{True; 8}").otherwise(F.concat(F.lit("so \\boxed{硅片 "), t, F.lit("}")))
+    )
+    rows = table(spark, sf, "events").select("event_id", expected.alias("expected_answer"), completion.alias("completion"))
+    return scoring.score(rows).select("event_id", "reward")
+
+
+@query("scoring_multiple_modes", "with l as (select p_partkey, list_distinct(regexp_extract_all(upper(p_brand || p_type), '[A-D]')) p, list_distinct(regexp_extract_all(upper(p_name), '[A-D]')) g from part), c as (select *, len(list_intersect(p, g)) tp from l) select p_partkey, case when len(g) = 0 then 0.0::double else round(greatest(0.0::double, (tp - 0.5 * (len(p) - tp)) / len(g)), 6) end penalty, case when len(p) = 0 and len(g) = 0 then 1.0::double when tp = 0 then 0.0 else round(2.0 * tp / (len(p) + len(g)), 6) end f1, case when tp = len(g) and tp = len(p) then 1.0::double else 0.0 end exact from c")
+def _(spark, sf):
+    abcd = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit("[A-D]"), F.lit(0)))
+    p, g = abcd(F.concat("p_brand", "p_type")), abcd(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", F.round(scoring.grade_multiple(p, g), 6).alias("penalty"), F.round(scoring.grade_multiple(p, g, "f1"), 6).alias("f1"), scoring.grade_multiple(p, g, "exact").alias("exact"))
+
+
+@query("scoring_attacks")
+def _(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("query"), F.concat(F.lit("[short] "), F.element_at(F.split("text", " "), 1), F.lit("|||"), F.element_at(F.split("text", " "), 2)).alias("expected_answer"))
+    return scoring.attacks(rows).select("row_id", "attack", "reward")
+
+
+# ---------------------------------------------------------------- curation
+
+_KEY = "md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))"
+
+
+def _keyed(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("expected_key"))
+    key = F.md5(F.lower(T.collapsed(F.col("text"))))
+    return docs.select("doc_id", key.alias("question_key")).join(labels, "doc_id", "left").select(F.col("doc_id").alias("row_id"), "question_key", F.coalesce("expected_key", F.lit("-")).alias("expected_key"))
+
+
+_DUP = f"with r as (select d.doc_id row_id, {_KEY} question_key, coalesce(cast(quality as varchar), '-') expected_key from documents d left join labels using (doc_id)), k as (select question_key, count(*) size, min(row_id) least_id, min(expected_key) <> max(expected_key) clash from r group by all having count(*) > 1), n as (select *, row_number() over (order by least_id) g from k)"
+
+
+@query("curation_duplicate_policy", _DUP + " select row_id, cast(g as integer) duplicate_group, coalesce(size, 1) duplicate_group_size, case when not clash and row_id <> least_id then least_id end duplicate_of, coalesce(clash, false) conflict from r left join n using (question_key)")
+def _(spark, sf):
+    return curation.duplicate_policy(_keyed(spark, sf)).select("row_id", "duplicate_group", "duplicate_group_size", "duplicate_of", "conflict")
+
+
+@query("curation_sample_weights", _DUP + " select row_id, case when coalesce(clash, false) or (size is not null and row_id <> least_id) then 0.0::double when expected_key = '1' then 3.0 when expected_key = '0' then 2.0 else 0.25 end weight from r left join n using (question_key)")
+def _(spark, sf):
+    rows = curation.duplicate_policy(_keyed(spark, sf))
+    support = F.when(F.col("expected_key") == "1", "full").when(F.col("expected_key") == "0", "partial").otherwise("none")
+    return rows.select("row_id", curation.sample_weight(F.col("conflict"), F.col("duplicate_of"), F.lit("short"), support).alias("weight"))
+
+
+@query("curation_canonical", f"with r as (select doc_id row_id, {_KEY} fingerprint, lang answer from documents) select fingerprint, min(row_id) row_id, count(*) n, min(answer) answer from r group by all having min(answer) = max(answer)")
+def _(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.md5(F.lower(T.collapsed(F.col("text")))).alias("fingerprint"), F.col("lang").alias("answer"))
+    return curation.canonical(rows)
+
+
+_SQL["curation_canonical"] = f"with r as (select doc_id row_id, {_KEY} fingerprint, lang answer from documents) select fingerprint, min(row_id) row_id, count(*) n, min(answer) answer from r group by fingerprint having min(answer) = max(answer)"
+
+
+@query("curation_structure")
+def _(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 3 == 0, "[single] A").when(F.col("item_id") % 3 == 1, "[fill] x|||y").otherwise("").alias("expected_answer"), F.lit("b").alias("bank"))
+    return curation.structure(rows).select("row_id", "type", F.array_join("issues", ",").alias("issues"), F.array_join("fatal_issues", ",").alias("fatal_issues"))
+
+
+_SQL["curation_structure"] = "select item_id row_id, case item_id % 3 when 0 then 'single' when 1 then 'fill' else 'unknown' end \"type\", '' issues, case item_id % 3 when 0 then 'missing_options' when 1 then '' else 'missing_expected_answer,invalid_answer_type' end fatal_issues from benchmark"
+
+
+@query("curation_exclusions", "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' union select s_suppkey from supplier)")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    return curation.without(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), [orders, suppliers], "c_custkey")
+
+
+@query("curation_split_overlaps", "with r as (select l_partkey fingerprint, case when l_linenumber <= 3 then 'train' else 'validation' end split from lineitem) select fingerprint, count(distinct split) splits from r group by fingerprint having count(distinct split) > 1")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("fingerprint"), F.when(F.col("l_linenumber") <= 3, "train").otherwise("validation").alias("split"))
+    return curation.split_overlaps(rows)
+
+
+def _messages(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"))).alias("messages"))
+
+
+@query("curation_message_issues")
+def _(spark, sf):
+    return _messages(spark, sf).select("conv_id", F.array_join(curation.message_issues(F.col("messages")), ",").alias("issues"))
+
+
+@query("curation_message_issue_counts")
+def _(spark, sf):
+    return curation.reason_counts(_messages(spark, sf).select(F.transform(curation.message_issues(F.col("messages")), lambda x: F.element_at(F.split(x, ":"), 1)).alias("r")), "r")
+
+
+@query("curation_last_assistant", "select conv_id, max_by(text, turn) filter (role = 'assistant') last_text, count(*) filter (role = 'user') user_turns from conversations group by conv_id")
+def _(spark, sf):
+    m = F.col("messages")
+    return _messages(spark, sf).select("conv_id", curation.last_of_role(m, "assistant").alias("last_text"), F.size(F.filter(m, lambda x: x.role == "user")).cast("long").alias("user_turns"))
+
+
+@query("curation_near_duplicates")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("a"))
+    b = table(spark, sf, "part").select(F.col("p_partkey").alias("other"), F.lower("p_name").alias("b"))
+    pairs = p.join(b, F.col("other") == F.col("p_partkey") + 1)
+    return pairs.select("p_partkey", curation.near_duplicate("a", "b").alias("near"), F.round(curation.overlap_ratio("a", "b"), 6).alias("overlap"))
+
+
+@query("curation_contained_items", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
+def _(spark, sf):
+    """Documents that contain a benchmark item whole: joined on the item's first three words, then confirmed."""
+    key = lambda w, i: F.array_join(F.slice(w, i, 3), " ")
+    items = table(spark, sf, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), key(F.col("w"), F.lit(2)).alias("k"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: key(F.col("w"), i)))
+    docs = table(spark, sf, "documents").withColumn("w", F.split("text", r"[ \n]")).select("doc_id", F.explode(grams).alias("k"))
+    hits = docs.join(items, "k").select("doc_id", "item_id", "item").distinct()
+    return hits.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+
+
+# ---------------------------------------------------------------- sampling
+
+_HASH = "sha256(concat_ws(':', 7, {s}, {k}))"
+
+
+@query("sampling_stratified_split", "with r as (select c_custkey, c_mktsegment s, count(*) over (partition by c_mktsegment) n, row_number() over (partition by c_mktsegment order by sha256('7:' || c_mktsegment || ':' || c_custkey)) p from customer), v as (select *, greatest(1, cast(round_even(n * 0.1, 0) as bigint)) v from r) select c_custkey, case when p <= v then 'validation' when p <= 2 * v then 'rl_holdout' else 'train' end split from v")
+def _(spark, sf):
+    return sampling.stratified_split(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "c_custkey").select("c_custkey", "split")
+
+
+@query("sampling_source_split", "select source, case when ('0x' || substr(sha256(source), 1, 8))::bigint % 8 = 0 then 'validation' else 'train' end split, count(*) n from documents group by source")
+def _(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", sampling.source_split(F.col("source")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sampling_first_per_type", "select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by sha256('7:' || o_orderpriority || ':' || o_orderkey)) p from orders qualify p <= 8")
+def _(spark, sf):
+    return sampling.first_per(table(spark, sf, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], 8, "o_orderkey").select("o_orderpriority", "o_orderkey", F.col("position").cast("long").alias("p"))
+
+
+@query("sampling_oversampled", "select p_partkey, unnest(range(0, p_size % 4)) exposure from part")
+def _(spark, sf):
+    return sampling.oversampled(table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).alias("n")), F.col("n")).select("p_partkey", long("exposure"))
+
+
+@query("sampling_cycled", "select e.i exposure, s.s_suppkey from range(0, 1000) e(i) join (select s_suppkey, row_number() over (order by s_suppkey) - 1 k, count(*) over () n from supplier) s on e.i % s.n = s.k")
+def _(spark, sf):
+    return sampling.cycled(table(spark, sf, "supplier").select("s_suppkey"), 1000, "s_suppkey").select("exposure", "s_suppkey")
+
+
+@query("sampling_balanced_replay")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("fingerprint"))
+    return sampling.balanced_replay(rows, ["1-URGENT", "2-HIGH", "5-LOW"], 600).select("kind", "fingerprint")
+
+
+@query("sampling_weighted_order")
+def _(spark, sf):
+    return sampling.weighted_order(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 1000, "s_suppkey").select("s_suppkey", "draw")
+
+
+@query("sampling_curriculum", "with r as (select c_mktsegment pool, c_custkey k, row_number() over (partition by c_mktsegment order by sha256('3:' || c_mktsegment || ':' || c_custkey)) p, count(*) over (partition by c_mktsegment) n from customer), s as (select i, i // 2 + 1 step, cast(i % 2 as integer) slot from range(0, 200) t(i)) select step, slot, pool, k \"key\" from s join r on r.p = s.i % r.n + 1 where pool in ('BUILDING', 'MACHINERY')")
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    pools = {s: (c.where(F.col("c_mktsegment") == s), 2) for s in ("BUILDING", "MACHINERY")}
+    return sampling.curriculum(pools, 100, 3, "c_custkey")
+
+
+@query("sampling_review", "with r as (select o_orderkey, o_totalprice > 450000 crit, o_orderpriority c from orders), f as (select o_orderkey from r qualify row_number() over (partition by c order by o_orderkey) <= 4) select o_orderkey from r where crit or o_orderkey in (select o_orderkey from f)")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return sampling.review_sample(rows, F.col("o_totalprice") > 450000, F.array("o_orderpriority"), 4, "o_orderkey").select("o_orderkey")
+
+
+# ---------------------------------------------------------------- evaluation
+
+_R = "round(value / 100.0 - 0.2, 6)"
+
+
+def _rewards(spark, sf):
+    r = F.round(F.col("value") / 100.0 - 0.2, 6)
+    return table(spark, sf, "events").select(F.col("event_id").alias("row_index"), F.col("event_type").alias("question_type"), r.alias("reward"), "user_id", "props")
+
+
+_BLOCK = "count(*) \"count\", round(avg(greatest(0.0, least(1.0, r))), 6) accuracy, round(avg(r), 6) mean_reward, count(*) filter (r >= 1.0) perfect_count, round((count(*) filter (r >= 1.0))::double / count(*), 6) perfect_rate"
+
+
+@query("evaluation_metrics", f"with e as (select event_type question_type, {_R} r from events) select question_type, {_BLOCK} from e group by rollup (question_type)")
+def _(spark, sf):
+    return evaluation.metrics_with_total(_rewards(spark, sf), "question_type")
+
+
+@query("evaluation_slices", f"with e as (select event_type t, {_R} r from events), s as (select 'open' slice, r from e where t in ('click', 'view') union all select 'click', r from e where t = 'click' union all select 'all', r from e) select slice, {_BLOCK} from s group by slice")
+def _(spark, sf):
+    t = F.col("question_type")
+    return evaluation.slice_metrics(_rewards(spark, sf), {"open": t.isin("click", "view"), "click": t == "click", "all": F.lit(True)})
+
+
+@query("evaluation_retrieval_summary", f"with e as (select event_type question_type, {_R} r, user_id % 3 c, user_id % 5 = 0 pe, event_id % 7 > 0 te from events) select question_type, {_BLOCK}, count(*) filter (c > 0) retrieval_count, round(avg(c), 6) average_searches, count(*) filter (c = 1) one_search_count, count(*) filter (c = 2) two_search_count, count(*) filter (pe) error_count, count(*) filter (not te) unterminated_count from e group by question_type")
+def _(spark, sf):
+    rows = _rewards(spark, sf).withColumns({"search_count": F.col("user_id") % 3, "protocol_error": F.col("user_id") % 5 == 0, "terminated": F.col("row_index") % 7 > 0})
+    return evaluation.retrieval_summary(rows, "question_type")
+
+
+@query("evaluation_paired_changes", f"with b as (select event_id i, event_type t, {_R} r, props s from events), c as (select event_id i, round({_R} + (event_id % 3 - 1) * 0.25, 6) r, case when event_id % 2 = 0 then props else '' end s from events) select b.t question_type, round(avg(c.r - b.r), 6) mean_reward_delta, count(*) filter (c.r - b.r > 1e-9) gain_count, count(*) filter (c.r - b.r < -1e-9) loss_count, count(*) filter (b.r < 1 and c.r >= 1) perfect_gain_count, count(*) filter (b.r >= 1 and c.r < 1) perfect_loss_count, count(*) filter (b.s <> c.s) response_change_count from b join c using (i) group by b.t")
+def _(spark, sf):
+    b = _rewards(spark, sf).withColumn("response", F.col("props"))
+    c = b.withColumn("reward", F.round(F.col("reward") + (F.col("row_index") % 3 - 1) * 0.25, 6)).withColumn("response", F.when(F.col("row_index") % 2 == 0, F.col("props")).otherwise(""))
+    return evaluation.paired_changes(b, c)
+
+
+@query("evaluation_unpaired", "select coalesce(a.k, b.k) row_index, case when a.k is null then 'candidate' else 'baseline' end side from (select c_custkey k from customer where c_nationkey < 13) a full join (select c_custkey k from customer where c_nationkey > 10) b on a.k = b.k where a.k is null or b.k is null")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_index"), "c_nationkey")
+    return evaluation.unpaired_keys(c.where("c_nationkey < 13"), c.where("c_nationkey > 10"))
+
+
+@query("evaluation_gate", "with s as (select l_returnflag || l_linestatus run, round(avg(l_discount), 6) accuracy, count(*) filter (l_discount >= 0.1) perfect_count, min(l_linenumber) + ascii(l_returnflag) step from lineitem group by l_returnflag, l_linestatus), b as (select accuracy a0, perfect_count p0 from s where run = 'RF'), c as (select s.*, accuracy >= a0 and perfect_count >= p0 passed from s, b where run <> 'RF') select run, step, accuracy, perfect_count, passed, coalesce(run = (select max_by(run, (accuracy, perfect_count, -step)) from c where passed), false) is_best from c")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    s = l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_discount"), 6).alias("accuracy"), F.count_if(F.col("l_discount") >= 0.1).alias("perfect_count"), F.min("l_linenumber").alias("s"))
+    s = s.select(F.concat("l_returnflag", "l_linestatus").alias("run"), "accuracy", "perfect_count", (F.col("s") + F.ascii("l_returnflag")).alias("step"))
+    return evaluation.gate(s, "RF")
+
+
+@query("evaluation_counts", "select o_orderstatus || ':' || o_orderpriority \"key\", count(*) n from orders group by all")
+def _(spark, sf):
+    return evaluation.counts(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+_SQL["evaluation_counts"] = "select o_orderstatus || ':' || o_orderpriority \"key\", count(*) n from orders group by o_orderstatus, o_orderpriority"
+
+
+@query("evaluation_rates", "select source, count(*) n, round(count(*)::double / (select count(*) from documents), 6) rate from documents group by source")
+def _(spark, sf):
+    return evaluation.rates(table(spark, sf, "documents"), "source")
+
+
+@query("evaluation_cross_table", "select event_type, count(*) filter (user_id % 2 = 0) even, count(*) filter (user_id % 2 = 1) odd from events group by event_type")
+def _(spark, sf):
+    rows = table(spark, sf, "events").withColumn("parity", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return evaluation.cross_table(rows, "event_type", "parity", ["even", "odd"])
+
+
+@query("evaluation_distribution", "select l_discount reward, count(*) n from lineitem group by l_discount")
+def _(spark, sf):
+    return evaluation.reward_distribution(table(spark, sf, "lineitem").select(F.col("l_discount").alias("reward")))
+
+
+@query("evaluation_extremes", "with e as (select event_id idx, value reward from events), o as (select *, row_number() over (order by reward desc, idx) p, count(*) over () n from e) select idx, reward from o where p <= 10 or p > n - 10 or p = n // 2 + 1")
+def _(spark, sf):
+    return evaluation.extremes(table(spark, sf, "events").select(F.col("event_id").alias("idx"), F.col("value").alias("reward")), 21)
+
+
+@query("evaluation_pages", "select cast(floor((c_custkey - 1) / 64.0) as bigint) page, cast(ceil((select max(c_custkey) from customer) / 64.0) as bigint) pages, count(*) n, min(c_custkey) first, max(c_custkey) last from customer group by 1")
+def _(spark, sf):
+    return evaluation.pages(table(spark, sf, "customer").select("c_custkey"), 64, "c_custkey")
+
+
+@query("evaluation_weighted_accuracy", "select o_orderstatus, round(sum(a * n) / sum(n), 6) accuracy from (select o_orderstatus, o_orderpriority, avg(o_totalprice) a, count(*) n from orders group by all) group by o_orderstatus")
+def _(spark, sf):
+    by = table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("accuracy"), F.count(F.lit(1)).alias("count"))
+    return by.groupBy("o_orderstatus").agg(F.round(evaluation.weighted_accuracy(by), 6).alias("accuracy"))
+
+
+_SQL["evaluation_weighted_accuracy"] = "select o_orderstatus, round(avg(o_totalprice), 6) accuracy from orders group by o_orderstatus"
+
+
+@query("evaluation_differences", "with a as (select c_custkey k, c_mktsegment v from customer where c_custkey % 3 > 0), b as (select c_custkey k, case when c_custkey % 5 = 0 then 'X' else c_mktsegment end v from customer where c_custkey % 4 > 0) select coalesce(a.k, b.k) \"key\", a.v a, b.v b, case when b.v is null then 'only_a' when a.v is null then 'only_b' else 'changed' end change from a full join b on a.k = b.k where a.v is distinct from b.v")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    return evaluation.differences(c.where("key % 3 > 0"), c.where("key % 4 > 0").withColumn("value", F.when(F.col("key") % 5 == 0, "X").otherwise(F.col("value"))))
+
+
+# ---------------------------------------------------------------- telemetry
+
+
+@query("telemetry_long_points", "select event_id, 'value' \"key\", value from events where value is not null union all select event_id, 'user', cast(user_id as double) from events")
+def _(spark, sf):
+    wide = table(spark, sf, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user"))
+    return telemetry.long_points(wide, ["event_id"], ["value", "user"])
+
+
+@query("telemetry_last_seen", "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) step from events")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return telemetry.last_seen(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "step").select("event_id", "step")
+
+
+@query("telemetry_windows", "select time_bucket(interval '5 minutes', ts) \"start\", event_type \"key\", count(*) n, round(avg(value), 6) mean from events group by all")
+def _(spark, sf):
+    return telemetry.windowed(table(spark, sf, "events").select("ts", F.col("event_type").alias("key"), "value")).withColumn("mean", F.round("mean", 6))
+
+
+_SQL["telemetry_windows"] = "select time_bucket(interval '5 minutes', ts) \"start\", event_type \"key\", count(*) n, round(avg(value), 6) mean from events group by 1, 2"
