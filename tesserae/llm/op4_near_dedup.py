@@ -33,6 +33,7 @@ SKETCH, LISTED, SHORT = 64, 16, 24
 SLACK = 0.3
 #: Sets with fewer values than this in short lists are compared with the pivots of their long lists.
 ENOUGH = 8
+NEAR, BLOCK = 128, 512
 
 _SKETCHED = "pid int, pos long, doc_id long, n long, a long, b long, sketch binary"
 
@@ -170,6 +171,50 @@ def _compared(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, per
     return stored(both.select("x", "y", "pivot", "mx", "my").mapInArrow(run, "x long, y long, z long, linked boolean, half long, wide long, m long"), "compared")
 
 
+def _linked_in_lists(listed: DataFrame, percent: int) -> DataFrame:
+    """Links x, y among members of each list h, z, by their deviations `common` (elements of more than one member)."""
+    sized = listed.join(listed.groupBy("h", "z").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), ["h", "z"])
+    own = sized.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    key = ["h", "z", "b1", "b2"]
+    dealt = own.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("other", "blocks").repartition(*key).sortWithinPartitions(*key)
+    names = [*key, "own", "doc", "n", "m", "linked", "half", "component", "common"]
+
+    def links(group):
+        joined: dict[int, int] = {}
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, (*_, b1, b2, o1, x, nx, mx, lx, hx, cx, zx) in enumerate(group):
+            for _, _, _, _, o2, y, ny, my, ly, hy, cy, zy in group[:i]:
+                if (lx and ly) or (b1 != b2 and o1 == o2) or not (hx or hy) or (lx and not hx) or (ly and not hy) or (not lx and not ly and not (hx and hy)):
+                    continue
+                if abs(mx - my) * (100 + percent) > (100 - percent) * (nx + ny) or root(cx) == root(cy):
+                    continue
+                both = (nx + ny - (mx + my - 2 * len(zx & zy))) // 2  # of the full sets
+                if 100 * both >= percent * (nx + ny - both):
+                    joined[root(cx)] = root(cy)
+                    yield x, y
+
+    def run(batches):
+        now, group = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:4] != now:
+                    found += links(group)
+                    now, group = row[:4], []
+                group.append((*row[:-1], frozenset(row[-1])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["x", "y"])
+        if found := list(links(group)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["x", "y"])
+
+    return dealt.select(*names).mapInArrow(run, "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Numbered, DataFrame]:
     """The numbered scan of docs and, for each of its rows: pid, pos, doc_id, n, component.
 
@@ -224,14 +269,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Num
     common = deviations.groupBy("h", "z").agg(F.count(F.lit(1)).alias("size"))
     ranked = deviations.join(common, ["h", "z"]).withColumn("rank", F.row_number().over(Window.partitionBy("h", "doc").orderBy("size", "z")))
     listed = ranked.where("size > 1 and rank <= greatest(half, wide)").join(sets.select("doc", "n"), "doc")
-    listed = stored(placed(listed).select("h", "z", "doc", "n", "m", "component", "linked", (F.col("rank") <= F.col("half")).alias("half")), "deviations")
+    own = ranked.where(f"size > 1 and m <= {NEAR}").groupBy("h", "doc").agg(F.collect_list("z").alias("common"))  # of one set
+    listed = placed(listed).select("h", "z", "doc", "n", "m", "component", "linked", (F.col("rank") <= F.col("half")).alias("half"))
+    listed = stored(listed.join(own, ["h", "doc"], "left"), "deviations")
+    within = _linked_in_lists(listed.where(f"m <= {NEAR}"), percent)
+    far = f"(mx > {NEAR} or my > {NEAR}) and {near}"
+    listed = listed.drop("common")
     apart = listed.where("not linked")
     second = (
-        met(rest, rest, ["v"]).unionByName(met(apart.where("half"), apart.where("half"), ["h", "z"], near))
-        .unionByName(met(apart, listed.where("linked and half"), ["h", "z"], near)).distinct()
+        met(rest, rest, ["v"]).unionByName(met(apart.where("half"), apart.where("half"), ["h", "z"], far))
+        .unionByName(met(apart, listed.where("linked and half"), ["h", "z"], far)).distinct()
     )
     more = _compared(scan, _estimated(second, sets, percent).withColumn("pivot", F.lit(False)), sketched, k, percent)
-    found = components(links.unionByName(more.select("x", "y")))
+    found = components(links.unionByName(more.select("x", "y")).unionByName(within))
 
     of_set = sets.select("n", "a", "b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
     rows = sketched.select("pid", "pos", "doc_id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
