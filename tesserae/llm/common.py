@@ -40,6 +40,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Arrow batches of texts stay small: 1000 rows unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 1000:
+        spark.conf.set(name, "1000")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut and it outlives lost executors."""
     path = work_dir(df.sparkSession, name)
@@ -157,6 +164,7 @@ class Numbered:
 
     def __init__(self, df: DataFrame, key: str):
         spark = df.sparkSession
+        bounded_batches(spark)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "MapIn", "LogicalRDD", "LocalRelation", "Limit", "Sample", "Union", "Range", "Generate")):
             df = stored(df, "numbered")

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import as_bytes, chunks
+from tesserae.llm.common import as_bytes, bounded_batches, chunks
 
 SPACE = "▁"
 #: Parts of texts that a Python worker remembers the pieces of, and their longest length.
-REMEMBERED, LONGEST = 800_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 
 
 class Pieces:
@@ -155,6 +155,7 @@ def pieces_of(path: str) -> Pieces:
 
 def _each(docs: DataFrame, model_path: str, schema: str, row) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         pieces = pieces_of(model_path)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import as_bytes
+from tesserae.llm.common import as_bytes, bounded_batches
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 PROBES = 3
@@ -95,6 +95,7 @@ def train(docs: DataFrame, sample: int = 2000, features: int = 40_000, bits: int
     Bounds: `sample` documents and `features` n-grams of each language.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
