@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import chunks, file_system, work_dir
 
 #: Words that a Python worker remembers the ids of.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 #: A run of letters and a run of these marks are never joined by the byte-level BPE; the words are known apart.
 _MARKED = re.compile(r"([^\W\d_]+)([,.;:!?%&$*#]+)")
 _INDEX = "<qqq"
