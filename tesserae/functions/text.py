@@ -29,8 +29,14 @@ EVIDENCE_PUNCTUATION = r"[\s，,。．.、；;：:！!？?\"'`（）()【】\[\]
 ANSWER_PUNCTUATION = r"[，,。．\.、；;：:！!？\?\"'`（）()【】\[\]/／\\\s]+"
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at both ends. (As a function of one argument it is safe in F.transform,
+    which hands a second one the index.)"""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapsed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return stripped(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -75,7 +81,7 @@ def snippet(text: Column, query: Column, limit: int) -> Column:
     n = F.length(flat)
     end = F.least(n, F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - limit // 3) + limit)
     start = F.greatest(F.lit(0), end - limit)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(flat, start + 1, F.lit(limit))), F.when(end < n, "…").otherwise(""))
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), stripped(F.substring(flat, start + 1, F.lit(limit))), F.when(end < n, "…").otherwise(""))
     return F.when(n <= limit, flat).otherwise(cut)
 
 
@@ -97,7 +103,7 @@ def evidence_norm(s: pd.Series) -> pd.Series:
 
 def answer_norm(c: Column) -> Column:
     """The other normaliser: no NFKC, and slashes go too."""
-    return F.regexp_replace(F.lower(F.trim(c)), "(?U)" + ANSWER_PUNCTUATION, "")
+    return F.regexp_replace(F.lower(stripped(c)), "(?U)" + ANSWER_PUNCTUATION, "")
 
 
 def gold_type(expected: Column) -> Column:
@@ -145,8 +151,8 @@ def letters(c: Column) -> Column:
 
 def canonical_answer(expected: Column) -> Column:
     """First alternatives of an open answer joined by semicolons, other payloads as they are; null if unusable."""
-    payload = F.trim(gold_payload(expected))
-    firsts = F.transform(F.split(payload, r"\|\|\|"), lambda p: F.try_element_at(F.filter(F.transform(F.split(p, "[/／]"), F.trim), lambda x: x != ""), F.lit(1)))
+    payload = stripped(gold_payload(expected))
+    firsts = F.transform(F.split(payload, r"\|\|\|"), lambda p: F.try_element_at(F.filter(F.transform(F.split(p, "[/／]"), stripped), lambda x: x != ""), F.lit(1)))
     kind = gold_type(expected)
     return F.nullif(F.when(kind.isin("fill", "short"), F.array_join(F.array_compact(firsts), "; ")).when(kind.isin("single", "multiple", "bool"), payload), F.lit(""))
 
@@ -208,12 +214,12 @@ def clean_log_line(line: Column, now: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(line, "\\x1b\\[[0-9;]*[A-Za-z]", ""), r"\[(?:\d{1,3};)*\d{1,3}m", "")
     bare = F.ltrim(F.regexp_replace(bare, r"^(?:\s*\([A-Za-z_][\w.:-]*\s+pid=\d+[^)]*\)\s*){1,2}", ""))
     partial = r"^(INFO|WARNING|ERROR|DEBUG)\s+(\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s*"
-    rebuilt = F.concat_ws(" ", F.concat(F.date_format(now, "yyyy-"), F.regexp_extract(bare, partial, 2)), F.trim(F.concat_ws(" ", F.regexp_extract(bare, partial, 1), F.regexp_replace(bare, partial, ""))))
-    return F.when(F.trim(bare) == "", line).when(bare.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"), bare).when(bare.rlike(partial), rebuilt).otherwise(F.concat_ws(" ", F.date_format(now, "yyyy-MM-dd HH:mm:ss"), bare))
+    rebuilt = F.concat_ws(" ", F.concat(F.date_format(now, "yyyy-"), F.regexp_extract(bare, partial, 2)), stripped(F.concat_ws(" ", F.regexp_extract(bare, partial, 1), F.regexp_replace(bare, partial, ""))))
+    return F.when(stripped(bare) == "", line).when(bare.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"), bare).when(bare.rlike(partial), rebuilt).otherwise(F.concat_ws(" ", F.date_format(now, "yyyy-MM-dd HH:mm:ss"), bare))
 
 
 def clean_cell(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.trim(F.regexp_replace(c, "\u00a0", " ")), "\u200b\ufeff", ""), r"(?U)\s+", " ")
+    return F.regexp_replace(F.translate(stripped(F.regexp_replace(c, "\u00a0", " ")), "\u200b\u200c\u200d\ufeff", ""), r"(?U)\s+", " ")
 
 
 def choice_answer(raw: Column, single: bool) -> Column:
@@ -222,8 +228,8 @@ def choice_answer(raw: Column, single: bool) -> Column:
 
 
 def judge_answer(raw: Column) -> Column:
-    low = F.lower(F.trim(raw))
-    return F.when(low.isin("对", "正确", "是", "√", "true", "t", "a", "yes", "y"), "正确").when(low.isin("错", "错误", "否", "×", "false", "f", "b", "no", "n"), "错误")
+    low = F.lower(stripped(raw))
+    return F.when(low.isin("对", "正确", "是", "√", "true", "t", "a", "yes", "y"), "对").when(low.isin("错", "错误", "不对", "否", "×", "false", "f", "b", "no", "n"), "错")
 
 
 def score_of_payload(text: Column) -> Column:
@@ -236,7 +242,7 @@ def score_of_payload(text: Column) -> Column:
 
 def number_answer(c: Column) -> Column:
     """What follows #### without thousands separators, else the trimmed text."""
-    return F.when(F.contains(c, F.lit("####")), F.replace(F.trim(F.regexp_extract(c, r"####\s*([^\n]+)", 1)), F.lit(","), F.lit(""))).otherwise(F.trim(c))
+    return F.when(F.contains(c, F.lit("####")), F.replace(stripped(F.regexp_extract(c, r"####\s*([^\n]+)", 1)), F.lit(","), F.lit(""))).otherwise(stripped(c))
 
 
 def bigram_similarity(a: Column, b: Column) -> Column:

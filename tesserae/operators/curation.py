@@ -30,7 +30,7 @@ def options(query: Column) -> Column:
 
 def structure(rows: DataFrame) -> DataFrame:
     """rows (row_id, query, expected_answer, bank) with type, question_key, expected_key, issues, fatal_issues."""
-    query, expected = F.trim(F.coalesce("query", F.lit(""))), F.trim(F.coalesce("expected_answer", F.lit("")))
+    query, expected = T.stripped(F.coalesce("query", F.lit(""))), T.stripped(F.coalesce("expected_answer", F.lit("")))
     kind, points, opts = T.gold_type(expected), F.size(T.keypoints(expected)), options(query)
     got = T.letters(T.gold_payload(expected))
     objective = kind.isin("single", "bool", "multiple")
@@ -96,7 +96,7 @@ def message_issues(messages: Column) -> Column:
     n = F.size(messages)
     at = lambda i: F.try_element_at(messages, F.lit(i))
     by_index = F.flatten(F.transform(messages, lambda m, i: issues(
-        (F.trim(F.coalesce(m.content, F.lit(""))) == "", F.concat(F.lit("invalid_content:"), i.cast("string"))),
+        (T.stripped(F.coalesce(m.content, F.lit(""))) == "", F.concat(F.lit("invalid_content:"), i.cast("string"))),
         ((i >= 2) & (m.role != F.when(i % 2 == 0, "assistant").otherwise("environment")), F.concat(F.lit("role_order:"), i.cast("string"))),
         ((i > 1) & (m.role == "environment") & ~m.content.startswith("[检索结果]"), F.concat(F.lit("invalid_observation:"), i.cast("string"))),
     )))
@@ -121,7 +121,7 @@ def query_rejection(query: Column, first: Column, context: Column, points: Colum
     """Why a rewritten query is refused, or null."""
     own, seen = F.array_distinct(T.tokens(query)), T.tokens(context)
     return first_reason(
-        (F.trim(query) == "", "empty"), (F.length(query) > 256, "too_long"), (T.answer_free(query) == T.answer_free(first), "duplicate"),
+        (T.stripped(query) == "", "empty"), (F.length(query) > 256, "too_long"), (T.answer_free(query) == T.answer_free(first), "duplicate"),
         (F.size(T.keypoint_hits(T.answer_free(query), points)) > F.size(T.keypoint_hits(T.answer_free(context), points)), "answer_leak"),
         (F.size(F.array_except(own, seen)) > 2, "unsupported_terms"), (F.size(F.array_intersect(own, seen)) == 0, "ungrounded"),
     )
@@ -132,7 +132,7 @@ def near_duplicate(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equal, one in the other (three characters at least), or a matching ratio of 0.88 (four at least)."""
 
     def one(x, y):
-        if x is None or y is None:
+        if not x or not y:
             return False
         short = min(len(x), len(y))
         return x == y or (short >= 3 and (x in y or y in x)) or (short >= 4 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.88)

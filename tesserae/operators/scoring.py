@@ -33,10 +33,10 @@ def alternatives(blank: Column) -> Column:
 def rule_reward(expected: Column, completion: Column, boxed: Column, mode: str = "partial_penalty", wrong_weight: float = 0.5) -> Column:
     """The score of one completion; boxed is the content of its last box (null: none)."""
     kind = F.regexp_extract(expected, r"^\s*\[(\w+)\]", 1)
-    gold = F.trim(T.gold_payload(expected))
+    gold = T.stripped(T.gold_payload(expected))
     same = F.when(F.array_sort(T.letters(boxed)) == F.array_sort(T.letters(gold)), 1.0).otherwise(0.0)
     blanks = F.split(gold, r"\|\|\|")
-    given = F.filter(F.split(boxed, "[;；\n]"), lambda p: F.trim(p) != "")
+    given = F.filter(F.split(boxed, "[;；\n]"), lambda p: T.stripped(p) != "")
     fill = F.size(F.filter(F.sequence(F.lit(1), F.size(blanks)), lambda i: (i <= F.size(given)) & F.array_contains(alternatives(F.element_at(blanks, i)), T.answer_norm(F.get(given, i - 1))))) / F.size(blanks)
     points = F.filter(blanks, lambda k: T.answer_norm(k) != "")
     seen = F.concat_ws("|", T.answer_norm(boxed), T.answer_norm(completion))
@@ -61,7 +61,7 @@ def judged_or_rule(judge: Column, rule: Column, expected: Column) -> Column:
 
 def attacks(rows: DataFrame) -> DataFrame:
     """row_id, attack, completion, reward: completions that a scorer shouldn't reward, with what it gives."""
-    gold = F.trim(T.gold_payload(F.col("expected_answer")))
+    gold = T.stripped(T.gold_payload(F.col("expected_answer")))
     points = F.split(gold, r"\|\|\|")
     boxed = lambda c: F.concat(F.lit("\\boxed{"), c, F.lit("}"))
     made = F.array(

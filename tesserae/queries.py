@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import messages as M
 from tesserae.functions import text as T
-from tesserae.operators import curation, evaluation, retrieval, sampling, scoring
+from tesserae.operators import agent, cloze, curation, evaluation, retrieval, sampling, scoring, targets
+from tesserae.sources import sheets
 from tesserae.streaming import telemetry
 
 _QUERIES: dict = {}
@@ -405,10 +407,11 @@ def _(spark, sf):
     return evaluation.paired_changes(b, c)
 
 
-@query("evaluation_unpaired", "select coalesce(a.k, b.k) row_index, case when a.k is null then 'candidate' else 'baseline' end side from (select c_custkey k from customer where c_nationkey < 13) a full join (select c_custkey k from customer where c_nationkey > 10) b on a.k = b.k where a.k is null or b.k is null")
+@query("evaluation_unpaired", "select coalesce(a.k, b.k) row_index, case when a.k is null then 'candidate' else 'baseline' end side from (select c_custkey k from customer) a full join (select distinct o_custkey + 1 k from orders) b on a.k = b.k where a.k is null or b.k is null")
 def _(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_index"), "c_nationkey")
-    return evaluation.unpaired_keys(c.where("c_nationkey < 13"), c.where("c_nationkey > 10"))
+    """Customers against the customers next to those who ordered."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_index"))
+    return evaluation.unpaired_keys(c, table(spark, sf, "orders").select((F.col("o_custkey") + 1).alias("row_index")).distinct())
 
 
 @query("evaluation_gate", "with s as (select l_returnflag || l_linestatus run, round(avg(l_discount), 6) accuracy, count(*) filter (l_discount >= 0.1) perfect_count, min(l_linenumber) + ascii(l_returnflag) step from lineitem group by l_returnflag, l_linestatus), b as (select accuracy a0, perfect_count p0 from s where run = 'RF'), c as (select s.*, accuracy >= a0 and perfect_count >= p0 passed from s, b where run <> 'RF') select run, step, accuracy, perfect_count, passed, coalesce(run = (select max_by(run, (accuracy, perfect_count, -step)) from c where passed), false) is_best from c")
@@ -462,10 +465,102 @@ def _(spark, sf):
 _SQL["evaluation_weighted_accuracy"] = "select o_orderstatus, round(avg(o_totalprice), 6) accuracy from orders group by o_orderstatus"
 
 
-@query("evaluation_differences", "with a as (select c_custkey k, c_mktsegment v from customer where c_custkey % 3 > 0), b as (select c_custkey k, case when c_custkey % 5 = 0 then 'X' else c_mktsegment end v from customer where c_custkey % 4 > 0) select coalesce(a.k, b.k) \"key\", a.v a, b.v b, case when b.v is null then 'only_a' when a.v is null then 'only_b' else 'changed' end change from a full join b on a.k = b.k where a.v is distinct from b.v")
+@query("evaluation_differences", "select coalesce(c_custkey, s_suppkey) \"key\", c_nationkey a, s_nationkey b, case when s_nationkey is null then 'only_a' when c_nationkey is null then 'only_b' else 'changed' end change from customer full join supplier on c_custkey = s_suppkey where c_nationkey is distinct from s_nationkey")
 def _(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    return evaluation.differences(c.where("key % 3 > 0"), c.where("key % 4 > 0").withColumn("value", F.when(F.col("key") % 5 == 0, "X").otherwise(F.col("value"))))
+    """Nations by key, of customers and of suppliers."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("value"))
+    return evaluation.differences(c, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("value")))
+
+
+# ---------------------------------------------------------------- targets, cloze questions, agent, banks
+
+
+@query("targets_spans")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("target_id"), F.lit("E01").alias("evidence_id"), "source", F.lit("").alias("heading"), F.lit("reference").alias("quality_category"), "text")
+    return targets.evidence_spans(docs).select("target_id", "span_id", "quote")
+
+
+@query("targets_validated")
+def _(spark, sf):
+    """Each item as evidence for two points of its own words, the second of which the question names."""
+    words = F.split("text", r"\s+")
+    part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    items = table(spark, sf, "benchmark").withColumnRenamed("item_id", "target_id")
+    asked = items.select("target_id", part(9, 4).alias("question"), F.lit("answerable").alias("decision"))
+    points = F.array(F.struct(F.lit(1).alias("index"), part(1, 5).alias("statement"), part(1, 8).alias("quote")), F.struct(F.lit(2).alias("index"), part(9, 4).alias("statement"), part(9, 8).alias("quote")))
+    rows = items.select("target_id", F.explode(points).alias("p")).select("target_id", "p.*", F.lit("e1").alias("evidence_id"))
+    evidence = items.select("target_id", F.lit("E01").alias("evidence_id"), "text", F.lit("s").alias("source"), F.lit("").alias("heading"), F.lit("reference").alias("quality_category"))
+    return targets.validated(asked, rows, evidence).select("target_id", "reason", F.size("points").alias("n"))
+
+
+@query("targets_bound", "select doc_id target_id, cast(2 - (doc_id % 2) as integer) \"index\", cast(case when doc_id % 2 = 0 and coalesce(trim(text), '') <> '' then 1 else 0 end as bigint) supports from documents")
+def _(spark, sf):
+    """A document's first 40 characters as a quote, shown by the document itself in trusted (even ids) or untrusted results."""
+    docs = table(spark, sf, "documents")
+    points = docs.select(F.col("doc_id").alias("target_id"), (2 - F.col("doc_id") % 2).cast("int").alias("index"), F.substring("text", 1, 40).alias("quote"))
+    grade = F.when(F.col("doc_id") % 2 == 0, "reference").otherwise("noise")
+    results = docs.select(F.col("doc_id").alias("target_id"), F.lit(1).alias("hop"), F.col("text").alias("observation"), F.lit(1).alias("rank"), "source", F.lit("").alias("heading"), grade.alias("quality_category"), "text")
+    return targets.bound(points, results).select("target_id", "index", F.size("visible_supports").cast("long").alias("supports"))
+
+
+@query("targets_query_candidates")
+def _(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.posexplode(targets.query_candidates(F.col("text"))).alias("pos", "query"))
+
+
+@query("cloze_candidates")
+def _(spark, sf):
+    return cloze.candidates(_chunk(spark, sf))
+
+
+@query("cloze_pairs", "with p as (select c_custkey k, c_mktsegment split, c_nationkey source, row_number() over (partition by c_mktsegment order by c_custkey) - 1 i, count(*) over (partition by c_mktsegment) n from customer), o as (select a.split, a.k, b.k other, (b.i - a.i + a.n) % a.n step from p a join p b on a.split = b.split and a.k <> b.k and a.source <> b.source) select split, k \"first\", min_by(other, step) \"second\" from o where step between 1 and 99 group by split, k")
+def _(spark, sf):
+    """Customers as candidates of their segments: sources are nations, answers are names, which no text holds. The SQL
+    is for segments of 199 customers and more, where no pair can come twice."""
+    c = table(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("candidate_id"), F.col("c_mktsegment").alias("split"), F.col("c_nationkey").alias("source"), F.lit("【1】 is a customer.").alias("masked_sentence"), F.col("c_name").alias("answer"), F.lit("").alias("model_query"))
+    return cloze.pairs(rows)
+
+
+@query("messages_observations", f"with {_BM25} select query_id, left('[检索结果]' || chr(10) || chr(10) || string_agg(r || '. 来源：' || source || chr(10) || '相关度：' || printf('%.2f', score) || chr(10) || left(text, 400), chr(10) || chr(10) order by r), 900) observation from ranked where r <= 4 group by query_id")
+def _(spark, sf):
+    found = retrieval.search(_chunk(spark, sf), _asked(spark, sf)).join(_chunk(spark, sf).select("chunk_id", "heading", "text"), "chunk_id")
+    return M.observations(found.select("query_id", "rank", "source", "heading", "raw_score", F.substring("text", 1, 400).alias("snippet")), 900).select("query_id", "observation")
+
+
+@query("messages_trajectories", "select conv_id, array_to_string(['system', 'user'] || flatten([['assistant', 'environment'] for x in range(0, greatest(0, least(2, count(*) filter (role = 'assistant'))))]) || ['assistant'], ',') roles from conversations group by conv_id")
+def _(spark, sf):
+    """A conversation's first two assistant texts as searches of a trajectory."""
+    own = F.transform(F.filter("messages", lambda m: m.role == "assistant"), lambda m: F.struct(m.content.alias("query"), F.lit("[检索结果]").alias("observation")))
+    made = M.search_messages("rules", F.lit("q"), F.lit("\\boxed{A}"), F.slice(own, 1, 2))
+    return _messages(spark, sf).select("conv_id", F.array_join(F.transform(made, lambda m: m.role), ",").alias("roles"))
+
+
+@query("agent_step", """select item_id row_id, case k when 0 then 'search' when 1 then 'answer' when 2 then 'invalid' when 3 then 'beyond' when 4 then 'early' else 'invalid' end "action",
+    case k when 0 then 0.0::double when 1 then 1.0 when 3 then -0.5 when 5 then -0.5 else 0.0 end reward, k in (1, 3, 5) "terminated", cast(case k when 0 then 1 when 3 then 2 when 5 then 1 else 0 end as integer) search_count,
+    cast(case k when 2 then 1 when 5 then 2 else 0 end as integer) invalid_count from (select item_id, item_id % 6 k from benchmark)""")
+def _(spark, sf):
+    """Every item in one of six states: a search, an answer, no action, a third search, too early an answer, a second bad action."""
+    k = F.col("item_id") % 6
+    response = F.when(k.isin(0, 3), F.concat(F.lit("<search>"), F.substring("text", 1, 60), F.lit("</search>"))).when(k.isin(1, 4), "\\boxed{B}").otherwise("nothing")
+    empty = F.array().cast("array<string>")
+    turns = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("row_id"), F.col("text").alias("query"), F.lit("[single] B").alias("expected_answer"), F.lit("").alias("bank"), F.when(k == 3, 2).when(k == 5, 1).otherwise(0).alias("search_count"),
+        F.when(k == 5, 1).otherwise(0).alias("invalid_count"), F.when(k == 4, 1).otherwise(0).alias("minimum_searches"), empty.alias("search_queries"), empty.alias("retrieved_sources"), F.array().cast("array<int>").alias("evidence_hits"), response.alias("response"),
+    )
+    return agent.step(turns, _chunk(spark, sf)).select("row_id", "action", "reward", "terminated", "search_count", "invalid_count")
+
+
+@query("sheets_questions", "select cast(p_partkey + 2 as integer) row_num, case when p_size % 4 = 3 then 'missing_answer' end issue, case when p_size % 4 < 3 then p_name end question, case p_size % 4 when 0 then '对' when 1 then '错' when 2 then '对' end answer, case when p_size % 4 < 3 then p_brand || '|' || p_type end knowledge_points from part")
+def _(spark, sf):
+    """Parts as rows of a sheet of true/false questions."""
+    mark = F.when(F.col("p_size") % 4 == 0, "对").when(F.col("p_size") % 4 == 1, " FALSE").when(F.col("p_size") % 4 == 2, "yes").otherwise("?")
+    cells = F.array(F.col("p_partkey").cast("string"), F.concat(F.lit(" "), "p_name"), mark, F.concat_ws("|", "p_brand", "p_type"))
+    rows = table(spark, sf, "part").select((F.col("p_partkey") + 2).cast("int").alias("row_num"), cells.alias("cells"))
+    head = spark.createDataFrame([(1, ["序号（必填）", "题目(必填)", "正确答案(必填)", "知识点"])], "row_num int, cells array<string>")
+    sheet = head.unionByName(rows).select(F.lit("parts.xlsx").alias("file"), F.lit("判断题").alias("sheet"), "row_num", "cells", F.lit(None).cast("string").alias("error"))
+    return sheets.parsed(sheet).select("row_num", "issue", "question", "answer", "knowledge_points")
 
 
 # ---------------------------------------------------------------- telemetry

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.functions.text import number_answer, stripped
+
 META = "struct<type:string,answer_letters:array<string>,options:array<string>,num_blanks:int,blanks:array<string>,num_keywords:int,keywords:array<string>,qid:bigint,bank:string>"
 QA_SCHEMA = f"query string, expected_answer string, meta {META}"
 
@@ -51,20 +53,18 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def math_rows(df: DataFrame) -> DataFrame:
-    from tesserae.functions.text import number_answer
-
     return df.select(F.col("question").alias("query"), number_answer(F.col("answer")).alias("expected_answer"))
 
 
 def instruction_rows(df: DataFrame) -> DataFrame:
-    prompt = F.when(F.trim(F.coalesce("input", F.lit(""))) == "", F.col("instruction")).otherwise(F.concat_ws("\n\n", "instruction", "input"))
+    prompt = F.when(stripped(F.coalesce("input", F.lit(""))) == "", F.col("instruction")).otherwise(F.concat_ws("\n\n", "instruction", "input"))
     return df.where("coalesce(instruction, '') <> '' and coalesce(output, '') <> ''").select(prompt.alias("input"), "output")
 
 
 def short_rows(df: DataFrame) -> DataFrame:
     """Keyword rows (query, reference_keywords) as typed short rows; rows without either go."""
-    words = F.filter(F.transform("reference_keywords", F.trim), lambda w: w != "")
-    return df.withColumn("w", words).where("trim(query) <> '' and size(w) > 0").select("query", F.concat(F.lit("[short] "), F.array_join("w", "|||")).alias("expected_answer"), F.size("w").alias("num_keywords"), F.col("w").alias("keywords"))
+    words = F.filter(F.transform("reference_keywords", stripped), lambda w: w != "")
+    return df.withColumn("w", words).where((stripped("query") != "") & (F.size("w") > 0)).select("query", F.concat(F.lit("[short] "), F.array_join("w", "|||")).alias("expected_answer"), F.size("w").alias("num_keywords"), F.col("w").alias("keywords"))
 
 
 def write_bank(questions: DataFrame, path: str) -> None:

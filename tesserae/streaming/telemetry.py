@@ -62,7 +62,7 @@ def sse_events(lines: list[str]) -> Iterator[tuple[str | None, str, str]]:
 def conversation_state(turns: DataFrame, searches: int = 2) -> DataFrame:
     """Streams turns (conv_id, turn, action: search, answer or invalid) through the agent's rules.
 
-    Two invalid actions or a search beyond the limit end a conversation with -0.5; an answer ends it; a search
+    Two invalid actions in a row, or anything but an answer after the last search, end a conversation with -0.5; an answer ends it; a search
     resets the count of invalid actions. Emits conv_id, turn, search_count, terminated, reward.
     """
 
@@ -80,7 +80,7 @@ def conversation_state(turns: DataFrame, searches: int = 2) -> DataFrame:
                     done = True
                 else:
                     invalid += r.action != "search"
-                    done = invalid >= 2 or r.action == "search"
+                    done = invalid >= 2 or searched >= searches
                     reward = -0.5 if done else 0.0
                 out.append((key[0], r.turn, searched, done, reward))
             yield pd.DataFrame(out, columns=["conv_id", "turn", "search_count", "terminated", "reward"])
