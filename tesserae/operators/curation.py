@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from tesserae.functions import text as T
+from tesserae.operators.sampling import quantile_numbered
 
 
 def issues(*tests: tuple[Column, str]) -> Column:
@@ -51,11 +52,11 @@ def duplicate_policy(rows: DataFrame) -> DataFrame:
     """rows (row_id, question_key, expected_key) with duplicate_group, duplicate_group_size, duplicate_of, conflict.
 
     Groups of one key with different answers are conflicts as a whole; else the least row id stays. Groups are
-    numbered by their least row id; empty keys make no group. Keys are aggregated before they are joined, so a
+    numbered by their least (numeric) row id; empty keys make no group. Keys are aggregated before they are joined, so a
     hot key costs its rows one small join row, not a window.
     """
     keyed = rows.where("question_key <> ''").groupBy("question_key").agg(F.count(F.lit(1)).alias("size"), F.min("row_id").alias("least"), (F.min("expected_key") != F.max("expected_key")).alias("clash"))
-    groups = keyed.where("size > 1").withColumn("duplicate_group", F.row_number().over(Window.orderBy("least")))
+    groups = quantile_numbered(keyed.where("size > 1"), "least", "question_key", "duplicate_group").withColumn("duplicate_group", F.col("duplicate_group").cast("int"))
     joined = rows.join(groups, "question_key", "left")
     return joined.select(
         *[F.col(c) for c in rows.columns], "duplicate_group", F.coalesce("size", F.lit(1).cast("long")).alias("duplicate_group_size"),

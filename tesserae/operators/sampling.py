@@ -12,9 +12,40 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 
 
+def numbered(rows: DataFrame, strata: list[str], order: Column, bucket: Column, name: str) -> DataFrame:
+    """rows with their place (from 1) by `order` within their stratum, however large it is.
+
+    bucket is a number that doesn't fall as order rises. Rows are ranked within a bucket, and the sizes of the
+    buckets before it are added, so no task sorts more than one bucket.
+    """
+    held = rows.withColumn("_b", bucket)
+    sizes = held.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_b") == F.col("_c")
+    for i, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    ranked = held.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy(order)))
+    return ranked.join(offsets, same).select(*rows.columns, (F.col("_r") + F.col("_before")).alias(name))
+
+
+def quantile_numbered(rows: DataFrame, value: str, key: str, name: str, parts: int = 64) -> DataFrame:
+    """rows with their place (from 1) by a numeric column and key, in buckets cut at approximate quantiles."""
+    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_cuts"))  # one row of parts - 1 numbers
+    held = rows.crossJoin(F.broadcast(cuts))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return numbered(held, [], F.struct(value, key), bucket, name).drop("_cuts")
+
+
+def _leading(digest: Column) -> Column:
+    """The first three hexadecimal digits of a hash: 4,096 buckets of like size."""
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+
+
 def hash_ranked(rows: DataFrame, strata: list[str], seed: int, key: str) -> DataFrame:
-    order = Window.partitionBy(*strata).orderBy(T.hash_key(F.lit(seed), *strata_cols(strata), F.col(key)), key)
-    return rows.withColumn("position", F.row_number().over(order))
+    """rows with `position` in hash order within their stratum; a stratum may be most of the rows."""
+    digest = T.hash_key(F.lit(seed), *strata_cols(strata), F.col(key))
+    return numbered(rows.withColumn("_digest", digest), strata, F.struct("_digest", key), _leading(F.col("_digest")), "position").drop("_digest")
 
 
 def strata_cols(strata: list[str]) -> list[Column]:
@@ -44,7 +75,8 @@ def source_split(source: Column, parts: int = 8) -> Column:
 
 
 def first_per(rows: DataFrame, strata: list[str], n: int, key: str, seed: int = 7) -> DataFrame:
-    return hash_ranked(rows, strata, seed, key).where(F.col("position") <= n)
+    order = Window.partitionBy(*strata).orderBy(T.hash_key(F.lit(seed), *strata_cols(strata), F.col(key)), key)
+    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)  # cut to n before the shuffle
 
 
 def balanced_count(available: int, open_rows: int, kinds: int, target: float, least: float, most: float) -> int:
@@ -79,7 +111,7 @@ def weighted_order(rows: DataFrame, weight: Column, key: str, seed: int = 7) ->
     """Rows of positive weight with `draw`: weighted sampling without replacement, by u ** (1 / w) of a hash u."""
     u = (F.conv(F.substring(T.hash_key(F.lit(seed), F.col(key)), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12 + 1))
     drawn = rows.where(weight > 0).withColumn("_k", F.pow(u, 1.0 / weight))
-    return drawn.withColumn("draw", F.row_number().over(Window.orderBy(F.desc("_k"), key))).drop("_k")
+    return quantile_numbered(drawn.withColumn("_k", -F.col("_k")), "_k", key, "draw").drop("_k")
 
 
 def curriculum(pools: dict[str, tuple[DataFrame, int]], steps: int, seed: int, key: str) -> DataFrame:

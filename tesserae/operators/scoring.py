@@ -60,13 +60,18 @@ def judged_or_rule(judge: Column, rule: Column, expected: Column) -> Column:
 
 
 def attacks(rows: DataFrame) -> DataFrame:
-    """row_id, attack, completion, reward: completions that a scorer shouldn't reward, with what it gives."""
+    """row_id, attack, completion, reward: completions that a scorer shouldn't reward, with what it gives.
+
+    All keywords, the shortest of their alternatives (the first of equals), the question, and a single keyword alone.
+    """
     gold = T.stripped(T.gold_payload(F.col("expected_answer")))
-    points = F.split(gold, r"\|\|\|")
+    parts = F.filter(F.transform(F.split(gold, r"\|\|\|"), lambda p: F.filter(F.transform(F.split(p, "[/／]"), T.stripped), lambda x: x != "")), lambda p: F.size(p) > 0)
+    firsts, every = F.transform(parts, lambda p: F.element_at(p, 1)), F.flatten(parts)
+    shortest = F.array_min(F.transform(every, lambda x, i: F.struct(F.length(T.answer_free(x)).alias("n"), i.alias("i"), x.alias("x")))).x
     boxed = lambda c: F.concat(F.lit("\\boxed{"), c, F.lit("}"))
-    made = F.array(
-        F.struct(F.lit("keywords_only").alias("attack"), boxed(F.array_join(points, "; ")).alias("completion")),
-        F.struct(F.lit("question_copy").alias("attack"), boxed(F.col("query")).alias("completion")),
-        F.struct(F.lit("keywords_outside_box").alias("attack"), F.concat(F.array_join(points, " "), boxed(F.lit(""))).alias("completion")),
-    )
+    attack = lambda name, c: F.struct(F.lit(name).alias("attack"), boxed(c).alias("completion"))
+    made = F.array_compact(F.array(
+        attack("keyword_stuffing", F.array_join(firsts, "; ")), attack("shortest_keypoint", F.coalesce(shortest, F.lit(""))), attack("question_copy", F.coalesce("query", F.lit(""))),
+        F.when(F.size(firsts) == 1, attack("bare_singleton", F.get(firsts, 0))),
+    ))
     return score(rows.select("row_id", "expected_answer", F.explode(made).alias("a")).select("row_id", "expected_answer", "a.attack", "a.completion")).drop("expected_answer")

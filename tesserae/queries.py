@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import messages as M
 from tesserae.functions import text as T
-from tesserae.operators import agent, cloze, curation, evaluation, retrieval, sampling, scoring, targets
+from tesserae.operators import agent, audits, cloze, curation, evaluation, retrieval, sampling, scoring, targets
 from tesserae.sources import sheets
 from tesserae.streaming import telemetry
 
@@ -537,6 +537,28 @@ def _(spark, sf):
     return _messages(spark, sf).select("conv_id", F.array_join(F.transform(made, lambda m: m.role), ",").alias("roles"))
 
 
+@query("audit_short_labels", """with w as (select item_id, string_split(trim(text), ' ') w from benchmark), e as (select item_id, item_id % 4 k from w)
+    select item_id row_id, case when k = 1 then 0 when k = 0 then 1 else 2 end keypoint_count, case k when 0 then 'singleton_question_high_overlap' when 1 then 'not_short_answer,empty_short_keypoints' when 2 then 'near_duplicate_keypoints,majority_keypoints_overlap_question' else 'all_keypoints_are_topics' end reasons from e""")
+def _(spark, sf):
+    """Gold strings of four kinds: the item itself, none, the item twice, two general terms."""
+    k, text = F.col("item_id") % 4, F.translate("text", "/|", "")
+    gold = F.when(k == 0, F.concat(F.lit("[short] "), text)).when(k == 1, "").when(k == 2, F.concat(F.lit("[short] "), text, F.lit("|||"), text)).otherwise("[short] 设备|||流程")
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.translate("text", "/|", "").alias("query"), gold.alias("expected_answer"), F.lit("").alias("bank"))
+    return audits.short_labels(rows).select("row_id", F.col("keypoint_count"), F.array_join("defect_reasons", ",").alias("reasons"))
+
+
+@query("audit_protocol", "select conv_id row_id, case when count(*) filter (role = 'assistant') = 0 then 'missing_assistant_response,missing_boxed_completion' else 'invalid_assistant_action,missing_boxed_completion' end issues from conversations group by conv_id")
+def _(spark, sf):
+    return audits.protocol(_messages(spark, sf).withColumnRenamed("conv_id", "row_id")).select("row_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("audit_cumulative_hits", "with h as (select l_orderkey row_id, l_linenumber hop, l_suppkey hit from lineitem), s as (select distinct row_id, hop from h) select row_id, hop, (select count(distinct hit) from h where h.row_id = s.row_id and h.hop <= s.hop) n from s")
+def _(spark, sf):
+    """An order's lines as hops, their suppliers as hits."""
+    hops = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("hop")).agg(F.collect_set("l_suppkey").alias("hits"))
+    return audits.cumulative_hits(hops).select("row_id", "hop", F.size("cumulative_hits").cast("long").alias("n"))
+
+
 @query("agent_step", """select item_id row_id, case k when 0 then 'search' when 1 then 'answer' when 2 then 'invalid' when 3 then 'beyond' when 4 then 'early' else 'invalid' end "action",
     case k when 0 then 0.0::double when 1 then 1.0 when 3 then -0.5 when 5 then -0.5 else 0.0 end reward, k in (1, 3, 5) "terminated", cast(case k when 0 then 1 when 3 then 2 when 5 then 1 else 0 end as integer) search_count,
     cast(case k when 2 then 1 when 5 then 2 else 0 end as integer) invalid_count from (select item_id, item_id % 6 k from benchmark)""")
