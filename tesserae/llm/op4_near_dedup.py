@@ -31,8 +31,9 @@ from tesserae.llm.components import components
 SKETCH, LISTED, SHORT = 64, 16, 24
 #: An estimate so far under the threshold ends a pair: over five standard errors of a sketch of 64.
 SLACK = 0.3
-#: Sets with fewer values than this in short lists are compared with the pivots of their long lists.
-ENOUGH = 8
+#: Sets with fewer values than this in short lists (or in none) are compared with the pivots of their long lists. Of a
+#: set linked at 0.8, each value is missing from the other set with a chance of 0.11, 13 of 16 with one of 2e-10.
+ENOUGH = 13
 NEAR, BLOCK = 128, 512
 
 _SKETCHED = "pid int, pos long, doc_id long, n long, a long, b long, sketch binary"
