@@ -109,14 +109,15 @@ def candidates(chunk: DataFrame, per_source: int = 3) -> DataFrame:
 
 
 def can_pair(a: str, b: str) -> Column:
-    """May rows aliased a and b be one question? Their answers differ and neither is in the prompt or a query."""
+    """May rows aliased a and b be one question? Their answers differ and neither is in the prompt or a query.
+
+    The normal form drops and folds single characters, so that of a prompt is made of its parts' forms, which
+    are there once for each row and not for each pair.
+    """
     x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
-    texts = [T.answer_free(prompt(F.array(f"{a}.masked_sentence", f"{b}.masked_sentence"))), F.col(f"{a}.asked"), F.col(f"{b}.asked")]
-    clean = [~F.contains(t, k) for t in texts for k in (x, y)]
-    out = (F.col(f"{a}.source") != F.col(f"{b}.source")) & (x != "") & (y != "") & (x != y)
-    for c in clean:
-        out = out & c
-    return out
+    head = T.answer_free(F.format_string(PROMPT_HEAD, F.lit(2)))
+    texts = F.concat_ws("\n", F.concat(head, F.lit("1"), F.col(f"{a}.one"), F.lit("2"), F.col(f"{b}.two")), F.col(f"{a}.asked"), F.col(f"{b}.asked"))
+    return (F.col(f"{a}.source") != F.col(f"{b}.source")) & (x != "") & (y != "") & (x != y) & ~F.contains(texts, x) & ~F.contains(texts, y)
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def pairs(rows: DataFrame) -> DataFrame:
     """
     n = F.count(F.lit(1)).over(Window.partitionBy("split"))
     at = F.row_number().over(Window.partitionBy("split").orderBy("candidate_id")) - 1
-    placed = rows.select("candidate_id", "split", "source", "masked_sentence", T.answer_free(F.col("answer")).alias("key"), T.answer_free(F.coalesce("model_query", F.lit(""))).alias("asked"), at.alias("at"), n.alias("n"))
+    placed = rows.select("candidate_id", "split", "source", T.answer_free(F.col("masked_sentence")).alias("one"), T.answer_free(F.replace(F.col("masked_sentence"), F.lit(BLANK), F.lit("2"))).alias("two"), T.answer_free(F.col("answer")).alias("key"), T.answer_free(F.coalesce("model_query", F.lit(""))).alias("asked"), at.alias("at"), n.alias("n"))
     block = F.floor(F.col("at") / WINDOW)
     # the ring's first rows follow its last ones: they also stand n places further on
     wrapped = placed.unionByName(placed.where(F.col("at") < WINDOW - 1).withColumn("at", F.col("at") + F.col("n")))

@@ -219,3 +219,9 @@ def test_ends_lose_white_space_only(spark):
     assert one(spark, T.canonical_answer(F.col("e")), e="[fill] 0.5\n|||11/x|||\t210 ") == "0.5; 11; 210"
     rows = spark.createDataFrame([("q", ["010", " 1a1 ", "\n"]), (" \n", ["x"]), ("q", [])], "query string, reference_keywords array<string>")
     assert [r.expected_answer for r in short_rows(rows).collect()] == ["[short] 010|||1a1"]
+
+
+def test_pairs_keep_answers_out_of_prompts(spark):
+    rows = [("a", "t", "s1", "【1】 is hot", "xenon", ""), ("b", "t", "s2", "xenon 【1】", "argon", ""), ("c", "t", "s3", "【1】 is cold", "helium", "about krypton"), ("d", "t", "s4", "【1】 flows", "krypton", "")]
+    df = spark.createDataFrame(rows, "candidate_id string, split string, source string, masked_sentence string, answer string, model_query string")
+    assert sorted((r.first, r.second) for r in cloze.pairs(df).collect()) == [("a", "c"), ("b", "c"), ("d", "a")]
