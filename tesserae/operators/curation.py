@@ -153,6 +153,34 @@ def overlap_ratio(value: pd.Series, context: pd.Series) -> pd.Series:
     return pd.Series([one(v, c) for v, c in zip(value, context, strict=True)])
 
 
+#: Bytes of short items that one broadcast holds; more of them are looked for slice by slice.
+SLICE_BYTES = 32 << 20
+
+
+def contained_items(docs: DataFrame, items: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, item_id where a document's text contains an item's (item_id, text) as it is.
+
+    Items and documents are cut at the same characters. All but the first and last word of an item stand whole in a
+    document that contains it, so items are joined on the first three of these and confirmed. Items with fewer have
+    no such key: they are broadcast in slices of at most about `limit` bytes and held against every text.
+    """
+    cut = F.split("text", r"[ \n]")
+    split = items.select("item_id", F.col("text").alias("item"), cut.alias("w"))
+    keyed = split.where("size(w) >= 5").select("item_id", "item", F.array_join(F.slice("w", 2, 3), " ").alias("k"))
+    short = split.where("item is not null and size(w) < 5").select("item_id", "item")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+    found = docs.select("doc_id", cut.alias("w")).where("size(w) >= 5").select("doc_id", F.explode(grams).alias("k"))
+    hits = found.join(keyed, "k").select(F.col("doc_id").alias("d"), "item_id", "item").distinct()
+    texts = docs.select("doc_id", "text")
+    out = hits.join(texts, F.col("d").eqNullSafe(F.col("doc_id"))).where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    size = short.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
+    n = -(-size // limit)
+    for i in range(n):
+        part = short if n == 1 else short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == i)
+        out = out.unionByName(texts.join(F.broadcast(part), F.contains("text", F.col("item"))).select("doc_id", "item_id"))
+    return out
+
+
 def objective_issues(query: Column, kind: Column, expected: Column) -> Column:
     letters, texts = options(query), F.regexp_extract_all(query, F.lit(r"(?m)^\s*[A-L]\s*[.．、:：]\s*(.+?)\s*$"), F.lit(1))
     return issues(

@@ -307,13 +307,8 @@ def _(spark, sf):
 
 @query("curation_contained_items", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def _(spark, sf):
-    """Documents that contain a benchmark item whole: joined on the item's first three words, then confirmed."""
-    key = lambda w, i: F.array_join(F.slice(w, i, 3), " ")
-    items = table(spark, sf, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), key(F.col("w"), F.lit(2)).alias("k"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: key(F.col("w"), i)))
-    docs = table(spark, sf, "documents").withColumn("w", F.split("text", r"[ \n]")).select("doc_id", F.explode(grams).alias("k"))
-    hits = docs.join(items, "k").select("doc_id", "item_id", "item").distinct()
-    return hits.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    """Documents that contain a benchmark item whole."""
+    return curation.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 # ---------------------------------------------------------------- sampling
