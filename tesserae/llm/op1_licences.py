@@ -1,13 +1,14 @@
 """License scans: normalised text compared with licence templates by Dice coefficient over word bigrams.
 
-Units of a text are its lines, its paragraphs (parted by blank lines) and the whole. A unit with b distinct
-bigrams can reach the threshold t only with templates of t / (2 - t) * b to (2 - t) / t * b bigrams; templates
-are kept sorted by that number, so the others are never looked at.
+All runs of a text's words are compared, across lines and paragraphs, so a notice is found wherever it starts and
+ends. A run's best form starts and ends with a bigram of the template and doesn't hold its first one again; it
+reaches the threshold t only with (2 - t) / t * b distinct bigrams at most, where the template has b, and only if
+the whole text has t / (2 - t) * b of these, which few texts have.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,53 +49,49 @@ def bigrams(words: list[bytes]) -> set:
     return set(zip(words, words[1:], strict=False))
 
 
-def units(text: bytes):
-    """Lines, paragraphs and the whole, each once."""
-    lines = text.split(b"\n")
-    seen = set()
-    block: list[bytes] = []
-    for line in [*lines, b""]:
-        if line.strip():
-            block.append(line)
-            if line not in seen:
-                seen.add(line)
-                yield line
-        elif block:
-            if len(block) > 1 and (p := b"\n".join(block)) not in seen:
-                seen.add(p)
-                yield p
-            block = []
-    if text not in seen and text.strip():
-        yield text
-
-
 class Matcher:
     def __init__(self, templates=TEMPLATES, percent: int = THRESHOLD):
         self.percent = percent
-        made = sorted((len(g), name, g) for name, g in ((n, bigrams(t.encode().translate(_TABLE).split())) for n, t in templates) if g)
-        self.sizes = [m[0] for m in made]
-        self.made = made
-        self.least = self.sizes[0] * percent / (200 - percent) if made else float("inf")
-
-    def match(self, unit: bytes) -> list[tuple[int, int, str]]:
-        """(2 * common, sum of sizes, name) of templates that reach the threshold."""
-        words = unit.translate(_TABLE).split()
-        if len(words) - 1 < self.least:
-            return []
-        own = bigrams(words)
-        low, high = len(own) * self.percent / (200 - self.percent), len(own) * (200 - self.percent) / self.percent
-        out = []
-        for size, name, grams in self.made[bisect_left(self.sizes, low) : bisect_right(self.sizes, high)]:
-            twice = 2 * len(own & grams)
-            if 100 * twice >= self.percent * (size + len(own)):
-                out.append((twice, size + len(own), name))
-        return out
+        self.made = [(name, g) for name, g in ((n, bigrams(t.encode().translate(_TABLE).split())) for n, t in templates) if g]
+        self.owners: dict[tuple, list[int]] = defaultdict(list)
+        for n, (_, grams) in enumerate(self.made):
+            for g in grams:
+                self.owners[g].append(n)
+
+    def best_run(self, own: list[tuple], grams: set) -> tuple[int, int]:
+        """(2 * common, sum of sizes) of the run of bigrams that is most like a template's; (0, 1) below the threshold."""
+        best, size = (0, 1), len(grams)
+        for start in (i for i, g in enumerate(own) if g in grams):
+            seen, common = set(), 0
+            for i in range(start, len(own)):
+                g = own[i]
+                if g in seen:
+                    if g == own[start]:  # the run from the next bigram on holds the same
+                        break
+                    continue
+                seen.add(g)
+                if self.percent * len(seen) > (200 - self.percent) * size:
+                    break
+                if g in grams:
+                    common += 1
+                    twice, total = 2 * common, size + len(seen)
+                    if 100 * twice >= self.percent * total and twice * best[1] > best[0] * total:
+                        best = twice, total
+        return best
 
     def scan(self, text: bytes | None) -> dict[str, float]:
         """The best coefficient of each licence found."""
+        words = text.translate(_TABLE).split() if text else []
+        hits = Counter(n for g in self.owners.keys() & bigrams(words) for n in self.owners[g])
         best: dict[str, float] = {}
-        for unit in units(text) if text else ():
-            for twice, total, name in self.match(unit):
+        own = None
+        for n, common in hits.items():
+            name, grams = self.made[n]
+            if (200 - self.percent) * common < self.percent * len(grams):
+                continue
+            own = own or list(zip(words, words[1:], strict=False))
+            twice, total = self.best_run(own, grams)
+            if twice:
                 best[name] = max(best.get(name, 0.0), twice / total)
         return best
 

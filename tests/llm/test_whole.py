@@ -1,0 +1,41 @@
+"""Corpus operators do the whole job: inputs that an earlier, narrower version lost."""
+
+import numpy as np
+
+from tesserae.llm import op1_licences
+
+APACHE = b"""Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licences_with_other_bounds():
+    m, long_ = op1_licences.Matcher(), b" ".join(b"w%d" % i for i in range(500))
+    assert m.scan(long_ + b"\n" + APACHE + long_)["Apache-2.0"] == 1.0
+    bsd = op1_licences.TEMPLATES[2][1].encode().replace(b" 1. ", b"\n\n1. ").replace(b" 2. ", b"\n\n2. ")
+    assert m.scan(long_ + b"\n\n" + bsd + b"\n\n" + long_) == {"BSD-2-Clause": 1.0}
+    assert m.scan(b"This project, which we started in 2019, is Released under the MIT License. See the site for more.") == {"MIT": 1.0}
+
+
+def test_licences_are_those_of_all_runs():
+    r, alphabet = np.random.default_rng(5), [b"a", b"b", b"c", b"d"]
+    for _ in range(400):
+        draw = lambda n: [alphabet[i] for i in r.integers(0, 4, n)]
+        template, words = b" ".join(draw(r.integers(2, 9))), draw(r.integers(0, 25))
+        grams = op1_licences.bigrams(template.split())
+        best = 0.0
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                own = op1_licences.bigrams(words[i:j])
+                best = max(best, 2 * len(own & grams) / (len(own) + len(grams)))
+        want = {"t": best} if 100 * best >= 80 - 1e-9 else {}
+        assert op1_licences.Matcher([("t", template.decode())]).scan(b"\n".join(words)) == want
