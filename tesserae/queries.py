@@ -299,10 +299,8 @@ def _(spark, sf):
 
 @query("curation_near_duplicates")
 def _(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("a"))
-    b = table(spark, sf, "part").select(F.col("p_partkey").alias("other"), F.lower("p_name").alias("b"))
-    pairs = p.join(b, F.col("other") == F.col("p_partkey") + 1)
-    return pairs.select("p_partkey", curation.near_duplicate("a", "b").alias("near"), F.round(curation.overlap_ratio("a", "b"), 6).alias("overlap"))
+    """A class for each part: the least part key of its name, and of all names near to it or to such."""
+    return curation.near_classes(table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("a")), "p_partkey", "a")
 
 
 @query("curation_contained_items", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")

@@ -1,5 +1,8 @@
 """Queries do the whole job: inputs that an earlier, narrower version lost."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,3 +17,35 @@ def test_contained_items(spark, limit):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(str, map(tuple, curation.contained_items(d, b, limit).collect())))
     assert got == sorted(str((i, k)) for i, t in docs for k, x in items if t is not None and x is not None and x in t)
+
+
+def near(x, y):
+    short = min(len(x), len(y))
+    return bool(short) and (x == y or (short >= 3 and (x in y or y in x)) or (short >= 4 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.88))
+
+
+def test_near_classes_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    names = ["".join(r.choice("abc ") for _ in range(r.randint(0, 7))) for _ in range(60)]
+    for _ in range(300):  # edits of long names, next to each other or not
+        base = list(r.choice([n for n in names if len(n) > 3] + ["a rather long name of a part", "é" * 3 + "xyz", "aaaaaaaaaaaaaaaaaaaaaaaaaa"]))
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(base))
+            base[at : at + r.randint(0, 1)] = r.choice(["", "q", "zz", "a"])
+        names.append("".join(base))
+    names += ["b" * 230, "b" * 210 + "c" * 20, "zebra", None, None, "zebra"]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, a string").repartition(3)
+    distinct = {}
+    for k, a in enumerate(names):
+        if a:
+            distinct.setdefault(a, k)
+    order = sorted(distinct.items(), key=lambda x: x[1])
+    links = {(i, j) for n, (a, i) in enumerate(order) for b, j in order[n + 1 :] if near(a, b)}
+    found = {(p.x, p.y) for p in curation.near_candidates(df.where("a <> ''").groupBy("a").agg(F.min("k").alias("k"))).collect()}
+    assert len(links) > 100 and links <= found
+    root = {k: k for k in distinct.values()}
+    while any(root[i] != root[j] for i, j in links):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {p.k: (p.name_class, p.class_id) for p in curation.near_classes(df, "k", "a").collect()}
+    assert got == {k: (distinct[a], root[distinct[a]]) if a else (k, k) for k, a in enumerate(names)}
