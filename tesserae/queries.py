@@ -110,6 +110,12 @@ def _(spark, sf):
     return s.withColumn("rnk", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("rnk <= 5")
 
 
+@query("retrieval_dense_every50_top5", "with v as (select vec_id, [cast(x as double) / sqrt(list_inner_product([cast(y as double) for y in embedding], [cast(y as double) for y in embedding])) for x in embedding] e from embeddings), s as (select w.vec_id query_id, v.vec_id, round(list_inner_product(v.e, w.e), 6) score from v join v w on v.vec_id <> w.vec_id where w.vec_id % 50 = 0) select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rnk from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5")
+def _(spark, sf):
+    """Every row whose id is divisible by 50 as a query, against all rows; retrieval_dense_top5 asks once for each label."""
+    return retrieval.nearest(table(spark, sf, "embeddings"))
+
+
 @query("retrieval_chunks")
 def _(spark, sf):
     return retrieval.chunks(table(spark, sf, "documents"))

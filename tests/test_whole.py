@@ -3,10 +3,11 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import curation
+from tesserae.operators import curation, retrieval
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 20])
@@ -49,3 +50,16 @@ def test_near_classes_are_those_of_all_pairs(spark):
             root[i] = root[j] = min(root[i], root[j])
     got = {p.k: (p.name_class, p.class_id) for p in curation.near_classes(df, "k", "a").collect()}
     assert got == {k: (distinct[a], root[distinct[a]]) if a else (k, k) for k, a in enumerate(names)}
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_nearest_of_every_query(spark, groups):
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(-2, 3, 3).astype(float).tolist()) for i in range(205)] + [(300, [0.0, 0.0, 0.0]), (350, None), (400, [1.0, None, 2.0]), (None, [1.0, 2.0, 3.0])]
+    got = retrieval.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), groups=groups).collect()
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows if i is not None and v and None not in v}
+    want = set()
+    for q in (0, 50, 100, 150, 200, 300):
+        best = sorted((-round(float(unit[q] @ v), 6), i) for i, v in unit.items() if i != q)[:5]
+        want |= {(q, i, -s + 0.0, n + 1) for n, (s, i) in enumerate(best)}
+    assert {(x.query_id, x.vec_id, x.score + 0.0, x.rnk) for x in got} == want and len(got) == len(want)
