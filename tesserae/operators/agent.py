@@ -22,6 +22,13 @@ DUPLICATE = "\n[检索反馈] 本次关键词与之前重复，请避免无信
 STILL_REQUIRED = "\n[检索约束] 提交答案前还需检索 %d 次，下一轮请更换关键词继续检索。"
 
 
+def observed(chunk: DataFrame, queries: DataFrame, top_k: int = 4, most: int = 1800, per_result: int = 520) -> DataFrame:
+    """query_id, observation: what a first search (query_id, query) shows, each result by its passage about the query."""
+    found = retrieval.search(chunk, queries, top_k).join(chunk.select("chunk_id", "heading", "text"), "chunk_id").join(queries, "query_id")
+    cut = found.select("query_id", "rank", "source", "heading", "raw_score", T.snippet(F.col("text"), F.col("query"), per_result).alias("snippet"))
+    return M.observations(cut, most).select("query_id", "observation")
+
+
 def step(turns: DataFrame, chunk: DataFrame, searches: int = 2, invalid: int = 2, top_k: int = 3, candidate_k: int | None = None, quality_rerank: bool = False, most: int = 1800, per_result: int = 520, evidence_scale: float = 0.0, search_cost: float = 0.0, duplicate_penalty: float = 0.0) -> DataFrame:
     """row_id, action, observation, reward, terminated and the next state of turns (the STATE columns and response).
 

@@ -528,6 +528,12 @@ def _(spark, sf):
     return M.observations(found.select("query_id", "rank", "source", "heading", "raw_score", F.substring("text", 1, 400).alias("snippet")), 900).select("query_id", "observation")
 
 
+@query("messages_query_observations")
+def _(spark, sf):
+    """Results by their passages about the query, as agent.step shows them; messages_observations shows the first 400 characters."""
+    return agent.observed(_chunk(spark, sf), _asked(spark, sf))
+
+
 @query("messages_trajectories", "select conv_id, array_to_string(['system', 'user'] || flatten([['assistant', 'environment'] for x in range(0, greatest(0, least(2, count(*) filter (role = 'assistant'))))]) || ['assistant'], ',') roles from conversations group by conv_id")
 def _(spark, sf):
     """A conversation's first two assistant texts as searches of a trajectory."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import curation, retrieval
+from tesserae.operators import agent, curation, retrieval
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 20])
@@ -63,3 +63,24 @@ def test_nearest_of_every_query(spark, groups):
         best = sorted((-round(float(unit[q] @ v), 6), i) for i, v in unit.items() if i != q)[:5]
         want |= {(q, i, -s + 0.0, n + 1) for n, (s, i) in enumerate(best)}
     assert {(x.query_id, x.vec_id, x.score + 0.0, x.rnk) for x in got} == want and len(got) == len(want)
+
+
+def test_observations_show_the_passage_asked_for(spark):
+    filler, late = "filler words without sense " * 40, "etching rate is 42 nm a minute"
+    texts = {1: f"{filler}\n{late} {filler}", 2: late, 3: f"{filler}etching"}
+    chunk = spark.createDataFrame([(i, f"s{i}", "", t) for i, t in texts.items()], "chunk_id long, source string, heading string, text string")
+    asked = spark.createDataFrame([(7, "etching rate"), (8, "nothing alike")], "query_id long, query string")
+
+    def passage(text, limit=520):
+        flat = " ".join(text.split())
+        if len(flat) <= limit:
+            return flat
+        at = min(p for p in (flat.lower().find(w) for w in ("etching", "rate")) if p >= 0)
+        end = min(len(flat), max(0, at - limit // 3) + limit)
+        start = max(0, end - limit)
+        return ("…" if start else "") + flat[start:end].strip() + ("…" if end < len(flat) else "")
+
+    ranked = retrieval.search(chunk, asked, 3).orderBy("rank").collect()
+    want = "\n\n".join(["[检索结果]"] + [f"{r['rank']}. 来源：{r.source}\n相关度：{r.raw_score:.2f}\n{passage(texts[r.chunk_id])}" for r in ranked])[:1800]
+    got = agent.observed(chunk, asked).collect()
+    assert [tuple(r) for r in got] == [(7, want)] and len(ranked) == 3 and want.count(late) == 2
