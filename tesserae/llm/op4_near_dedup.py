@@ -216,15 +216,22 @@ def _linked_in_lists(listed: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*names).mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Numbered, DataFrame]:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool = False) -> tuple[Numbered, DataFrame]:
     """The numbered scan of docs and, for each of its rows: pid, pos, doc_id, n, component.
 
     Texts without words have no set and are linked with nothing; rows with a null doc_id are left out; rows
     that share a doc_id are one node. Sets differ only from six shingles on if they are to be 85 % alike
     (five at 80 %), which needs no rule of its own here: equal sets collapse, others must share values.
+
+    With by_row each row is a node of its own, whatever its doc_id: doc_id and component are then numbers made of pid
+    and pos, and the rows have the doc_id they came with as key.
     """
     scan = Numbered(docs, "doc_id")
-    sketched = stored(sketches(scan, k).where("doc_id is not null"), "sketches")
+    sketched = sketches(scan, k)
+    if by_row:
+        node = F.shiftleft(F.col("pid").cast("long"), 40) + F.col("pos")
+        sketched = sketched.withColumn("key", F.col("doc_id")).withColumn("doc_id", node)
+    sketched = stored(sketched.where("doc_id is not null"), "sketches")
     sets = stored(sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "sets")
 
     lists = _lists(sets)
@@ -285,8 +292,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Num
     found = components(links.unionByName(more.select("x", "y")).unionByName(within))
 
     of_set = sets.select("n", "a", "b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
-    rows = sketched.select("pid", "pos", "doc_id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
-    return scan, rows.select("pid", "pos", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    rows = sketched.drop("sketch").join(of_set, ["n", "a", "b"], "left")
+    return scan, rows.select("pid", "pos", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), *["key"] * by_row)
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -296,10 +303,13 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first document of each component; repeated rows of that document go too."""
-    scan, rows = near_duplicates(docs, k, percent)
-    first = F.min(F.struct("pid", "pos")).alias("at")
-    stay = rows.where("doc_id = component").groupBy("doc_id").agg(first).select("at.pid", "at.pos")
+    """docs without all but the first row of each component: of the least doc_id, null ids last.
+
+    Rows are linked by their texts alone, so rows that share a doc_id, or have none, go only where they are copies.
+    """
+    scan, rows = near_duplicates(docs, k, percent, by_row=True)
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "pid", "pos")).alias("at")
+    stay = rows.groupBy("component").agg(first).select("at.pid", "at.pos")
     side = write_side(stay, "kept")
 
     def step(pid, batches, side):

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tesserae.llm import op1_licences
+from tesserae.llm import op1_licences, op4_near_dedup
 
 APACHE = b"""Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -39,3 +39,11 @@ def test_licences_are_those_of_all_runs():
                 best = max(best, 2 * len(own & grams) / (len(own) + len(grams)))
         want = {"t": best} if 100 * best >= 80 - 1e-9 else {}
         assert op1_licences.Matcher([("t", template.decode())]).scan(b"\n".join(words)) == want
+
+
+def test_near_dedup_keeps_rows_by_their_texts(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[1] + " end"), (None, words[2]), (None, words[3]), (None, words[0]), (3, words[4]), (3, words[4]), (None, None), (None, ""), (4, words[5]), (None, words[5] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, map(tuple, op4_near_dedup.keep_one(df).collect())))
+    assert got == sorted(map(str, [(1, words[0]), (1, words[1]), (None, words[2]), (None, words[3]), (3, words[4]), (None, None), (None, ""), (4, words[5])]))
