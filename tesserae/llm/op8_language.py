@@ -81,12 +81,17 @@ class Model:
         raw = np.array(counts) / max(1, n)
         return np.clip((raw - self.false_rate) / (1 - self.false_rate), 0, 1)
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
+    def ranked(self, text: bytes | None) -> tuple[str, float, int]:
+        """Language, score and number of n-grams."""
         if not text or not self.languages or not has_letter(text):
-            return "und", 0.0
-        shares = self.shares(plain(text) or b" " + text)
+            return "und", 0.0, 0
+        data = plain(text) or b" " + text
+        shares = self.shares(data)
         best = int(np.argmax(shares))
-        return self.languages[best], float(shares[best])
+        return self.languages[best], float(shares[best]), len(data) - 3
+
+    def predict(self, text: bytes | None) -> tuple[str, float]:
+        return self.ranked(text)[:2]
 
 
 def train(docs: DataFrame, sample: int = 2000, features: int = 40_000, bits: int = 20) -> Model:
@@ -146,13 +151,41 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
-    """docs whose text is in one of the model's languages with a score of `least`; all columns come through."""
+def least_scores(docs: DataFrame, model: Model, sample: int = 2000, below: float = 0.001, slack: float = 0.9) -> dict[str, float]:
+    """For each language the least score that its texts should have.
+
+    It is `slack` times what all but the share `below` of held-out documents (crc32(doc_id) mod 3 of 1) of the language
+    have, of those that are recognised and `sample` at most, chosen by hash of their id. No margin over the second
+    language is asked: a text that mixes learned languages is not in an unlearned one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    ids = docs.sparkSession.sparkContext.broadcast({r["doc_id"] for r in picked.select("doc_id").collect()})  # sample * languages at most
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(t) for t in as_bytes(batch.column("text"))]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            names = batch.column("lang").to_pylist()
+            found = [(n, *shared.value.ranked(t)) for i, n, t in zip(batch.column("doc_id").to_pylist(), names, as_bytes(batch.column("text")), strict=True) if i in ids.value]
+            found = [(n, score) for n, lang, score, _ in found if lang == n]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
+
+    scored = rows.mapInArrow(run, "lang string, score double").groupBy("lang").agg((slack * F.percentile_approx("score", below, 10_000)).alias("least"))
+    return {r["lang"]: r["least"] for r in scored.collect()}  # one row a language
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.1, own: dict[str, float] | None = None) -> DataFrame:
+    """docs whose text is in one of the model's languages with a score of `least`, and with the score that
+    `own` (see least_scores) asks of its language, less what chance does to a text of n n-grams (two standard
+    deviations of a share, 1 / sqrt(n) at most); all columns come through."""
+    shared, asked = docs.sparkSession.sparkContext.broadcast(model), own or {}
+
+    def known(lang, score, n):
+        return lang != "und" and score >= max(least, asked.get(lang, 0.0) - max(1, n) ** -0.5)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([known(*shared.value.ranked(t)) for t in as_bytes(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

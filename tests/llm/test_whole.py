@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tesserae.llm import op1_licences, op4_near_dedup
+from tesserae.llm import op1_licences, op4_near_dedup, op8_language
 
 APACHE = b"""Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -47,3 +47,14 @@ def test_near_dedup_keeps_rows_by_their_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(str, map(tuple, op4_near_dedup.keep_one(df).collect())))
     assert got == sorted(map(str, [(1, words[0]), (1, words[1]), (None, words[2]), (None, words[3]), (3, words[4]), (None, None), (None, ""), (4, words[5])]))
+
+
+def test_language_stage_rejects_languages_not_learned(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Il gatto dorme tutto il giorno sulla sedia vicino alla finestra e la sera esce per cercare qualcosa da mangiare nel giardino.", "O menino caminhou pela rua estreita até encontrar a casa antiga onde a sua avó morava com muitos gatos."]
+    strange = spark.createDataFrame([(-1 - i, t, "en", "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    got = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(strange), "/root/testdata/sf0.01").select("doc_id").collect()]
+    assert min(got) >= 0 and len(got) >= 0.998 * docs.count()
+    assert {r.doc_id for r in op8_language.keep_known(strange, op8_language.train(docs)).collect()} == {-1, -2}
