@@ -28,10 +28,13 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, a single machine) a folder of this machine is set in its place.
+    Where the setting is absent, a session of this machine alone (master local, as in tests) gets a folder of it; on a
+    cluster that is an error, since each executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
@@ -51,7 +54,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut and it outlives lost executors."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of stored() or write_side() that nothing will read again."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -153,12 +165,28 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 # ---------------------------------------------------------------- numbered scans and side tables
 
 
+def _xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, n):
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = turned(h + five + np.uint64(8) ^ turned(c.astype(np.int64).view(np.uint64) * two, 31) * one, 27) * one + four
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        h ^= h >> np.uint64(32)
+    return h
+
+
 class Numbered:
     """A table whose scan partitions are numbered, so that a later scan finds what was said of its rows.
 
-    Spark plans a scan of the same files the same way within a session. That is not left to trust: the
-    number and the exclusive or of the ids of each partition are taken first and compared by each later scan,
-    which fails rather than go on with another partitioning. An input that is not a plain scan of files is
+    Spark plans a scan of the same files the same way within a session. That is not left to trust: the number of rows
+    of each partition and the exclusive or of hashes of (position, id) are taken first and compared by each later scan,
+    which fails rather than go on with another partitioning or order. An input that is not a plain scan of files is
     written to the shared folder first.
     """
 
@@ -169,11 +197,12 @@ class Numbered:
         if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "MapIn", "LogicalRDD", "LocalRelation", "Limit", "Sample", "Union", "Range", "Generate")):
             df = stored(df, "numbered")
         self.df, self.key, self.spark = df, key, spark
+        pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         found = (
-            df.select(F.col(f"`{key}`").cast("long").alias("k"), F.spark_partition_id().alias("pid"))
-            .groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor("k"), F.lit(0)).alias("x")).collect()
+            df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long")).alias("k"), pos.alias("pos"), F.spark_partition_id().alias("pid"))
+            .groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pos", "k")).alias("x")).collect()
         )  # one row for each partition
-        self.seals = spark.sparkContext.broadcast({r["pid"]: (r["n"], r["x"]) for r in found})
+        self.seals = spark.sparkContext.broadcast({r["pid"]: (r["n"], r["x"] & (1 << 64) - 1) for r in found})
         self.partitions = max(1, len(found))
 
     def scan(self, step: Callable, schema: str, columns: list[str] | None = None, side: str | None = None) -> DataFrame:
@@ -192,9 +221,9 @@ class Numbered:
                 batch = first
                 while batch is not None:
                     if batch.num_rows:
+                        pos = np.arange(seen["n"], seen["n"] + batch.num_rows)
                         seen["n"] += batch.num_rows
-                        ids = batch.column("k").drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                        seen["x"] ^= int(np.bitwise_xor.reduce(ids)) if len(ids) else 0
+                        seen["x"] ^= int(np.bitwise_xor.reduce(_xxhash64(pos, batch.column("k").fill_null(0).to_numpy(zero_copy_only=False))))
                         yield batch
                     batch = next(batches, None)
 
@@ -209,17 +238,26 @@ class Numbered:
         return source.mapInArrow(run, schema)
 
 
-def write_side(rows: DataFrame, name: str) -> str:
-    """Writes rows, which have a column pid, as a side table; returns its path."""
+#: Scan partitions whose side rows lie in one folder, sorted by partition.
+SIDE_PARTITIONS = 16
+
+
+def write_side(rows: DataFrame, name: str, scan: Numbered) -> str:
+    """Writes rows, which have a column pid, as a side table of the scan; returns its path.
+
+    There is a task and a folder for each `SIDE_PARTITIONS` partitions of the scan, so both follow the input."""
     path = work_dir(rows.sparkSession, name)
-    rows.repartition("pid").write.partitionBy("pid").parquet(path)
+    part = F.floor(F.col("pid") / SIDE_PARTITIONS).cast("int")
+    dealt = rows.withColumn("part", part).repartition(-(-scan.partitions // SIDE_PARTITIONS), "part").sortWithinPartitions("part", "pid")
+    dealt.write.option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
     return path
 
 
 def read_side(path: str, pid: int, columns: list[str]) -> pa.Table | None:
     """The rows of one partition in a side table, or None."""
     fs, inner = file_system(path)
-    inner = f"{inner}/pid={pid}"
+    inner = f"{inner}/part={pid // SIDE_PARTITIONS}"
     if fs.get_file_info(inner).type == pafs.FileType.NotFound:
         return None
-    return pads.dataset(inner, filesystem=fs, format="parquet").to_table(columns=columns)
+    table = pads.dataset(inner, filesystem=fs, format="parquet").to_table(columns=columns, filter=pads.field("pid") == pid)
+    return table if table.num_rows else None

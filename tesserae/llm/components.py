@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stored
+from tesserae.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
-        e = stored(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        older, e = e, stored(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _state(e)
+        discard(e.sparkSession, older)
         if now == before:
             break
         before = now

@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_BYTES) -> DataFrame:
     """docs without those that hold a window of a benchmark item; all columns come through."""
     scan = Numbered(docs, "doc_id")
-    side = write_side(search_documents(scan, benchmark, width, limit).where("size(items) > 0").select("pid", "pos"), "contaminated")
+    side = write_side(search_documents(scan, benchmark, width, limit).where("size(items) > 0").select("pid", "pos"), "contaminated", scan)
 
     def step(pid, batches, side):
         table = side("pos")

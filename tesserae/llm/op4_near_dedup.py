@@ -135,7 +135,7 @@ def _compared(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, per
     union and, if y is a pivot, rows (x, y, z, linked, half, wide, m) of x's deviation from it, which has m elements."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    side = write_side(sketched.where("n > 0").select("pid", "doc_id", "pos").join(wanted, "doc_id", "left_semi"), "wanted")
+    side = write_side(sketched.where("n > 0").select("pid", "doc_id", "pos").join(wanted, "doc_id", "left_semi"), "wanted", scan)
 
     def step(pid, batches, side):
         table = side("doc_id", "pos")
@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     scan, rows = near_duplicates(docs, k, percent, by_row=True)
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "pid", "pos")).alias("at")
     stay = rows.groupBy("component").agg(first).select("at.pid", "at.pos")
-    side = write_side(stay, "kept")
+    side = write_side(stay, "kept", scan)
 
     def step(pid, batches, side):
         table = side("pos")

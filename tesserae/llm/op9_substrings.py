@@ -132,7 +132,7 @@ def repeats(docs: DataFrame, width: int = 13) -> tuple[Numbered, str]:
         sent.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)})
         .where("least < most")
     )
-    anchors = write_side(shared.select("pid", "h", "least"), "anchors")
+    anchors = write_side(shared.select("pid", "h", "least"), "anchors", scan)
 
     def find_windows(ids, texts, side):
         if "found" not in cache:
@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, width: int = 13) -> tuple[Numbered, str]:
     sent = scan.scan(windows_step, "pid int, h long, g long, low long, high long", ["text"], anchors)
     same = Window.partitionBy("h", "g")
     again = sent.withColumn("least", F.min("low").over(same)).where("high > least").select("pid", "h", "g", "least")
-    return scan, write_side(again, "windows")
+    return scan, write_side(again, "windows", scan)
 
 
 def _covered(texts, ids, found, width):
