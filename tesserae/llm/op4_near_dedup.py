@@ -2,19 +2,19 @@
 
 1. A scan takes each document's set of word shingles, its size, a 128-bit digest and the `SKETCH` smallest
    hashes. Equal sets collapse to their smallest document.
-2. Inverted lists of the `LISTED` smallest values give candidates. Of two sets with similarity s, each of the
-   smallest values of the union is common with chance s, so at s = 0.8 they miss each other in all lists with
-   a chance under 1e-10. Lists of up to `SHORT` sets give all their pairs, those with one chosen member first.
-3. Longer lists come from large groups of near copies or from common passages. Sets that have enough values in
-   short lists need them not. For the others, each long list and class of sizes has a pivot, its most popular
-   member, and each member is compared with it alone. Members x, y that aren't both linked with pivot h are
-   found by what they share of their deviations from it: with Z the symmetric difference of a set and h, x and
-   y are linked only if |Zx ^ Zy| <= c (|x| + |y|), c = (1 - s) / (1 + s), while |Zx| > c (|x| + |h|) if x isn't
-   linked with h; so they must share more than (|Zy| - c (|y| - |h|)) / 2 deviations. Prefixes of Z, rarest
-   elements first, then hold a common element for certain, and lists of these elements are short.
-4. Sketches of a candidate pair give the sketch of the union and so an estimate; pairs clearly below the
-   threshold end there. The rest is confirmed by integer arithmetic on full sets, which a second scan sends
-   for the documents concerned.
+2. Inverted lists of the `LISTED` smallest values give candidates: lists of up to `SHORT` sets all their pairs, those
+   with one chosen member first. Sets that are crowded, with too few values outside longer lists, are listed once more
+   among themselves by their whole sketches, which tells sets that share a common passage from near copies.
+3. What is still crowded then belongs to large groups of near copies. Each long list has a pivot, its most popular
+   member, and a member is compared with the pivots of most of its lists, one or two as a rule. Members x, y that
+   aren't both linked with pivot h are found by what they share of their deviations from it: with Z the symmetric
+   difference of a set and h, x and y are linked only if |Zx ^ Zy| <= c (|x| + |y|), c = (1 - s) / (1 + s), while
+   |Zx| > c (|x| + |h|) if x isn't linked with h. That is a join by overlap: prefixes of Z, rarest elements first, hold
+   a common element for certain, and its ranks in both bound the overlap. Members linked with h are one component
+   already and send only the elements that some unlinked member has.
+4. Sketches of a candidate pair, also of a pair with a pivot, give the sketch of the union and so an estimate; pairs
+   clearly below the threshold aren't linked. The rest is confirmed by integer arithmetic on full sets, which a second
+   scan sends for the documents concerned.
 5. Components of confirmed links; later candidates within one component are not looked at.
 """
 
@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Numbered, Words, as_bytes, chunks, grams, mix, stored, write_side
+from tesserae.llm.common import Numbered, Words, as_bytes, chunks, discard, grams, mix, stored, write_side
 from tesserae.llm.components import components
 
 SKETCH, LISTED, SHORT = 64, 16, 24
 #: An estimate so far under the threshold ends a pair: over five standard errors of a sketch of 64.
 SLACK = 0.3
-#: Sets with fewer values than this in short lists (or in none) are compared with the pivots of their long lists. Of a
-#: set linked at 0.8, each value is missing from the other set with a chance of 0.11, 13 of 16 with one of 2e-10.
-ENOUGH = 13
-NEAR, BLOCK = 128, 512
+#: A set is crowded if fewer than `enough` of its first `first` values lie outside long lists. Of a set linked at 0.8 at
+#: most a fifth isn't in the other set, so the other set has none of them with a chance of P(Bin(first, 0.2) >= enough)
+#: at most: 3e-7 for 13 of 16, 1e-8 for 28 of 48 (whole sketches are listed, so these 48 are in the other's list).
+ENOUGH, DEEP_ENOUGH, DEEP_FIRST = 13, 28, 48
 
 _SKETCHED = "pid int, pos long, doc_id long, n long, a long, b long, sketch binary"
 
@@ -76,7 +76,7 @@ def sketches(scan: Numbered, k: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, listed: int = LISTED) -> DataFrame:
-    """v, doc, n: a row for each of the first `listed` values of each sketch."""
+    """v, doc, n, at: a row for each of the first `listed` values of each sketch, at counts them from 0."""
 
     def run(batches):
         for batch in batches:
@@ -84,9 +84,10 @@ def _lists(sets: DataFrame, listed: int = LISTED) -> DataFrame:
             values = [np.frombuffer(x, np.uint64)[:listed] for x in data]
             sizes = [len(v) for v in values]
             if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.repeat(docs, sizes)), pa.array(np.repeat(ns, sizes))], ["v", "doc", "n"])
+                at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.repeat(docs, sizes)), pa.array(np.repeat(ns, sizes)), pa.array(at)], ["v", "doc", "n", "at"])
 
-    return sets.select("doc", "n", "sketch").mapInArrow(run, "v long, doc long, n long")
+    return sets.select("doc", "n", "sketch").mapInArrow(run, "v long, doc long, n long, at int")
 
 
 def _chosen(lists: DataFrame) -> DataFrame:
@@ -99,40 +100,60 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def _crowded(listed: DataFrame, first: int, enough: int) -> DataFrame:
+    """doc: those with too few of their first values outside long lists."""
+    hot = listed.where((F.col("size") > SHORT) & (F.col("at") < first)).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("hot"))
+    return hot.where(f"least(n, {first}) - hot < least({enough}, 0.25 * n + 1)").select("doc")
+
+
+def _covering(pivoted: DataFrame) -> DataFrame:
+    """doc, head: the pivots of all but a few of each member's long lists, those of most lists first.
+
+    A member leaves out pivots of a fifth of its first values at most. Linked sets that both leave out so many still
+    share a pivot unless they differ in three fifths of their first values (see DEEP_ENOUGH)."""
+    counted = pivoted.groupBy("doc", "n", "head").agg(F.count(F.lit(1)).alias("lists"))
+    fewest_first = Window.partitionBy("doc").orderBy("lists", F.xxhash64("head"), "head")
+    left_out = F.sum("lists").over(fewest_first)
+    return counted.withColumn("left_out", left_out).where(f"left_out > floor(0.2 * least(n, {DEEP_FIRST})) and doc <> head").select("doc", "head")
+
+
 def _estimated(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs x < y whose union sketch doesn't rule them out."""
+    """x, y, pivot, likely of candidate pairs: whether the union sketch doesn't rule them out. Only pairs with pivots
+    come through if it does."""
     one = sets.select(F.col("doc").alias("x"), F.col("sketch").alias("sx"))
     two = sets.select(F.col("doc").alias("y"), F.col("sketch").alias("sy"))
-    pairs = candidates.join(two, "y").join(one, "x").select("x", "y", "sx", "sy")
+    pairs = candidates.join(two, "y").join(one, "x").select("x", "y", "pivot", "sx", "sy")
 
     def run(batches):
         for batch in batches:
-            keep = []
+            likely = []
             for sx, sy in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
                 a, b = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
                 union = np.unique(np.concatenate([a, b]))[:SKETCH]
                 # a sketch shorter than SKETCH is the whole set, so a missing value is truly absent
                 common = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
-                keep.append(len(common) >= (percent / 100 - SLACK) * len(union))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                likely.append(len(common) >= (percent / 100 - SLACK) * len(union))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "pivot")), pa.array(likely, pa.bool_())], ["x", "y", "pivot", "likely"])
 
-    return pairs.mapInArrow(run, "x long, y long")
+    return pairs.mapInArrow(run, "x long, y long, pivot boolean, likely boolean").where("pivot or likely")
 
 
-def _deviation(x: np.ndarray, h: np.ndarray, linked: bool, percent: int) -> tuple[np.ndarray, int, int]:
-    """x's deviation from h, and how many of its rarest elements must be listed to meet an unlinked set (for an
-    unlinked x: to meet another unlinked one) and, for an unlinked x, to meet a linked one."""
+def _prefixes(nz: int, nx: int, nh: int, linked: bool, percent: int) -> tuple[int, int]:
+    """How many of the rarest of nz deviations of a set of nx elements from a pivot of nh must be listed to meet an
+    unlinked set (for an unlinked x: to meet another unlinked one) and, for an unlinked x, to meet a linked one."""
     t = percent / 100
     c = (1 - t) / (1 + t)
-    z = np.setxor1d(x, h, assume_unique=True)
-    half = len(z) - int(max(0.0, (len(z) - c * (len(x) - len(h))) / 2 - 1e-9))
-    wide = int(c * len(x) * (1 + 1 / t) + 1e-9) + 1
-    return (z, half, 0) if linked else (z, min(half, wide), wide)
+    half = nz - int(max(0.0, (nz - c * (nx - nh)) / 2 - 1e-9))
+    wide = int(c * nx * (1 + 1 / t) + 1e-9) + 1
+    return (half, 0) if linked else (min(half, wide), wide)
+
+
+_COMPARED = "x long, y long, linked boolean, n long, m long, half long, wide long, z array<long>"
 
 
 def _compared(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs x, y, pivot compared by full sets: rows (x, y, z null) of links with 100 * intersection >= percent *
-    union and, if y is a pivot, rows (x, y, z, linked, half, wide, m) of x's deviation from it, which has m elements."""
+    """A row for each pair x, y that is linked (100 * intersection >= percent * union of full sets) or whose y is a
+    pivot: then with x's size n, its m deviations z from y and the prefixes to list (see _prefixes)."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     side = write_side(sketched.where("n > 0").select("pid", "doc_id", "pos").join(wanted, "doc_id", "left_semi"), "wanted", scan)
@@ -156,64 +177,41 @@ def _compared(scan: Numbered, pairs: DataFrame, sketched: DataFrame, k: int, per
     def run(batches):
         for batch in batches:
             out = []
-            for x, y, pivot, mx, my in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "pivot", "mx", "my")), strict=True):
+            for x, y, pivot, likely, mx, my in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "pivot", "likely", "mx", "my")), strict=True):
                 a, b = np.frombuffer(mx, np.uint64), np.frombuffer(my, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                linked = 100 * common >= percent * (len(a) + len(b) - common)
-                if linked:
-                    out.append(([x], [y], [None], [True], [0], [0], [0]))
+                linked = False
+                if likely:
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    linked = 100 * common >= percent * (len(a) + len(b) - common)
                 if pivot:
-                    z, half, wide = _deviation(a, b, linked, percent)
-                    out.append(([x] * len(z), [y] * len(z), z.view(np.int64).tolist(), [linked] * len(z), [half] * len(z), [wide] * len(z), [len(z)] * len(z)))
+                    z = np.setxor1d(a, b, assume_unique=True)
+                    out.append((x, y, linked, len(a), len(z), *_prefixes(len(z), len(a), len(b), linked, percent), z.view(np.int64)))
+                elif linked:
+                    out.append((x, y, True, len(a), 0, 0, 0, None))
             if out:
-                kinds = [*[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[i]], t) for i, t in enumerate(kinds)], ["x", "y", "z", "linked", "half", "wide", "m"])
-
-    return stored(both.select("x", "y", "pivot", "mx", "my").mapInArrow(run, "x long, y long, z long, linked boolean, half long, wide long, m long"), "compared")
-
-
-def _linked_in_lists(listed: DataFrame, percent: int) -> DataFrame:
-    """Links x, y among members of each list h, z, by their deviations `common` (elements of more than one member)."""
-    sized = listed.join(listed.groupBy("h", "z").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), ["h", "z"])
-    own = sized.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    key = ["h", "z", "b1", "b2"]
-    dealt = own.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("other", "blocks").repartition(*key).sortWithinPartitions(*key)
-    names = [*key, "own", "doc", "n", "m", "linked", "half", "component", "common"]
-
-    def links(group):
-        joined: dict[int, int] = {}
-
-        def root(c):
-            while c in joined:
-                c = joined[c]
-            return c
-
-        for i, (*_, b1, b2, o1, x, nx, mx, lx, hx, cx, zx) in enumerate(group):
-            for _, _, _, _, o2, y, ny, my, ly, hy, cy, zy in group[:i]:
-                if (lx and ly) or (b1 != b2 and o1 == o2) or not (hx or hy) or (lx and not hx) or (ly and not hy) or (not lx and not ly and not (hx and hy)):
-                    continue
-                if abs(mx - my) * (100 + percent) > (100 - percent) * (nx + ny) or root(cx) == root(cy):
-                    continue
-                both = (nx + ny - (mx + my - 2 * len(zx & zy))) // 2  # of the full sets
-                if 100 * both >= percent * (nx + ny - both):
-                    joined[root(cx)] = root(cy)
-                    yield x, y
-
-    def run(batches):
-        now, group = None, []
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:4] != now:
-                    found += links(group)
-                    now, group = row[:4], []
-                group.append((*row[:-1], frozenset(row[-1])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["x", "y"])
-        if found := list(links(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["x", "y"])
-
-    return dealt.select(*names).mapInArrow(run, "x long, y long")
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _COMPARED.split(", ")])
+
+    compared = stored(both.select("x", "y", "pivot", "likely", "mx", "my").mapInArrow(run, _COMPARED), "compared")
+    discard(scan.spark, pairs, full, side)
+    return compared
+
+
+def _deviations(compared: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Rows h, z, doc, n, m, half, rank of unlinked members and of members linked with h: the elements that others may
+    meet them by. rank is that of z among all of a member's deviations, in one order for all members of h: elements
+    that no unlinked member has first (they meet nothing and have no row), then the rarest. Also the stored tables that
+    these rows are read from."""
+    own = compared.where("z is not null").withColumnsRenamed({"x": "doc", "y": "h"})
+    apart = stored(own.where("not linked").withColumn("z", F.explode("z")), "apart")
+    held = apart.groupBy("h", "z").agg(F.count(F.lit(1)).alias("r"))
+    near = stored(own.where("linked").withColumn("z", F.explode("z")).join(held, ["h", "z"], "left_semi"), "near")
+    sizes = apart.select("h", "z").unionByName(near.select("h", "z")).groupBy("h", "z").agg(F.count(F.lit(1)).alias("size"))
+    member = Window.partitionBy("h", "doc")
+    ranked = [x.join(sizes, ["h", "z"]).withColumn("rank", F.row_number().over(member.orderBy("size", "z"))) for x in (apart, near)]
+    near_rank = F.col("rank") + F.col("m") - F.count(F.lit(1)).over(member)
+    columns = ["h", "z", "doc", "n", "m", "half", "rank"]
+    return ranked[0].where("size > 1 and rank <= greatest(half, wide)").select(columns), ranked[1].withColumn("rank", near_rank).where("rank <= half").select(columns), (apart, near)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool = False) -> tuple[Numbered, DataFrame]:
@@ -237,27 +235,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool
     lists = _lists(sets)
     heads = stored(_chosen(lists), "heads")
     listed = stored(lists.join(heads, "v"), "listed")  # no value that only one set has
-    short = listed.where(F.col("size") <= SHORT)
-    hot = listed.where(F.col("size") > SHORT)
-    # sets with enough values in short lists or in none at all meet their like there
-    crowded = hot.groupBy("doc").agg(F.count(F.lit(1)).alias("hot"))
-    few = sets.join(crowded, "doc").where(f"least(n, {LISTED}) - hot < least({ENOUGH}, 0.25 * n + 1)").select("doc", "n", "sketch")
+    few = stored(sets.join(_crowded(listed, LISTED, ENOUGH), "doc", "left_semi").select("doc", "n", "sketch"), "few")
+    deep = _lists(few, SKETCH)
+    deep = stored(deep.join(_chosen(deep), "v"), "deep")
     # the member whose whole sketch is most common stands nearest to the text that the others are copies of
-    spread = _lists(few, SKETCH)
-    common = spread.join(spread.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v").groupBy("doc").agg(F.sum("c").alias("popular"))
-    few = stored(common, "few")
-    # sizes of linked sets are in one class or in neighbouring ones
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("long")
-    long_lists = hot.join(few, "doc").withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("v", "class").alias("v"), "doc", "n", "popular")
-    pivots = long_lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("popular", F.xxhash64("doc").alias("h"), "doc")).alias("p")).where("size > 1").select("v", "size", F.col("p.doc").alias("head"))
-    pivoted = stored(long_lists.join(pivots, "v"), "pivoted")
-    short = short.select("v", "doc", "n", "head", "head_n").unionByName(pivoted.where(F.col("size") <= SHORT).select("v", "doc", "n", "head", F.col("n").alias("head_n")))
+    popular = deep.groupBy("doc").agg(F.sum("size").alias("popular"))
+    dense = stored(popular.join(_crowded(deep, DEEP_FIRST, DEEP_ENOUGH), "doc", "left_semi"), "dense")
+    long_lists = deep.where((F.col("size") > SHORT) & (F.col("at") < DEEP_FIRST)).select("v", "doc", "n").join(dense, "doc")
+    pivots = long_lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("popular", F.xxhash64("doc").alias("h"), "doc", "n")).alias("p")).where("size > 1").select("v", "size", F.col("p.doc").alias("head"), F.col("p.n").alias("head_n"))
+    pivoted = stored(long_lists.join(pivots, "v").select("v", "size", "doc", "n", "head", "head_n"), "pivoted")
+    short = listed.unionByName(deep).drop("at").unionByName(pivoted).where(F.col("size") <= SHORT).select("v", "doc", "n", "head", "head_n")
+    to_pivot = _covering(pivoted.where(F.col("size") > SHORT)).select(F.col("doc").alias("x"), F.col("head").alias("y"))
 
     starred = short.where(_similar_sizes("n", "head_n", percent)).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y")).where("x < y").distinct()
-    to_pivot = pivoted.where(F.col("size") > SHORT).select(F.col("doc").alias("x"), F.col("head").alias("y")).where("x <> y").distinct()
-    first = _estimated(starred, sets, percent).withColumn("pivot", F.lit(False)).unionByName(to_pivot.withColumn("pivot", F.lit(True)))
+    first = _estimated(starred.withColumn("pivot", F.lit(False)).unionByName(to_pivot.withColumn("pivot", F.lit(True))), sets, percent)
     compared = _compared(scan, first, sketched, k, percent)
-    links = compared.where("z is null").select("x", "y")
+    links = compared.where("linked").select("x", "y")
     known = stored(components(links), "components")
 
     def placed(rows):
@@ -269,30 +262,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool
         met_ = f"componentx <> componenty and {_similar_sizes('nx', 'ny', percent)} and {more}"
         return a.join(b, on).where(met_).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
-    near = f"abs(mx - my) * {100 + percent} <= {100 - percent} * (nx + ny)"  # |Zx ^ Zy| can't be less
     mixed = placed(short)
     many = mixed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
-    rest = stored(mixed.join(many, "v", "left_semi"), "rest")
-    deviations = compared.where("z is not null").withColumnsRenamed({"x": "doc", "y": "h"})
-    common = deviations.groupBy("h", "z").agg(F.count(F.lit(1)).alias("size"))
-    ranked = deviations.join(common, ["h", "z"]).withColumn("rank", F.row_number().over(Window.partitionBy("h", "doc").orderBy("size", "z")))
-    listed = ranked.where("size > 1 and rank <= greatest(half, wide)").join(sets.select("doc", "n"), "doc")
-    own = ranked.where(f"size > 1 and m <= {NEAR}").groupBy("h", "doc").agg(F.collect_list("z").alias("common"))  # of one set
-    listed = placed(listed).select("h", "z", "doc", "n", "m", "component", "linked", (F.col("rank") <= F.col("half")).alias("half"))
-    listed = stored(listed.join(own, ["h", "doc"], "left"), "deviations")
-    within = _linked_in_lists(listed.where(f"m <= {NEAR}"), percent)
-    far = f"(mx > {NEAR} or my > {NEAR}) and {near}"
-    listed = listed.drop("common")
-    apart = listed.where("not linked")
-    second = (
-        met(rest, rest, ["v"]).unionByName(met(apart.where("half"), apart.where("half"), ["h", "z"], far))
-        .unionByName(met(apart, listed.where("linked and half"), ["h", "z"], far)).distinct()
-    )
-    more = _compared(scan, _estimated(second, sets, percent).withColumn("pivot", F.lit(False)), sketched, k, percent)
-    found = components(links.unionByName(more.select("x", "y")).unionByName(within))
+    rest = stored(mixed.join(many, "v", "left_semi").select("v", "doc", "n", "component"), "rest")
+    *listed_by, raw = _deviations(compared)
+    apart, near = (stored(placed(x), "deviations") for x in listed_by)
+    discard(scan.spark, *raw)
+    # the first common element leaves 1 + least(mx - rankx, my - ranky) common ones at most; links need so many:
+    enough = f"2 * (1 + least(mx - rankx, my - ranky)) * {100 + percent} >= (mx + my) * {100 + percent} - {100 - percent} * (nx + ny)"
+    prefix = apart.where("rank <= half")
+    second = met(rest, rest, ["v"]).unionByName(met(prefix, prefix, ["h", "z"], enough)).unionByName(met(apart, near, ["h", "z"], enough)).distinct()
+    more = _compared(scan, _estimated(second.withColumn("pivot", F.lit(False)), sets, percent), sketched, k, percent)
+    found = components(links.unionByName(more.select("x", "y")))
+
+    discard(scan.spark, heads, listed, few, deep, dense, pivoted, compared, more, known, rest, apart, near)
 
     of_set = sets.select("n", "a", "b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
-    rows = sketched.drop("sketch").join(of_set, ["n", "a", "b"], "left")
+    bare = sketched.drop("sketch")  # rows of a hot set are many, but each meets one row; texts without words meet none
+    rows = bare.where("n > 0").join(of_set, ["n", "a", "b"], "left").unionByName(bare.where("n = 0").withColumn("component", F.col("doc_id")))
     return scan, rows.select("pid", "pos", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), *["key"] * by_row)
 
 
