@@ -67,8 +67,8 @@ from s left join m on m.node = s.doc_id"""
 
 OP6 = """
 with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] e from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_inner_product([cast(x as double) for x in q.e], [cast(x as double) for x in c.e]) as bigint) score
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id vec_id, case when len(q.e) = 0 then 0 else cast(list_inner_product([cast(x as double) for x in q.e], [cast(x as double) for x in c.e]) as bigint) end score
   from (select distinct * from v where vec_id % 20 = 0) q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e))
 select query_id, cast(row_number() over w as integer) "rank", vec_id, score from s
 window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20"""

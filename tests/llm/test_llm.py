@@ -177,18 +177,40 @@ def test_pieces_match_the_library(docs):
     assert op5_pieces.decode(first, path).first().text == "é" * 50 + " 日本語 ß x"
 
 
-def test_nearest(spark):
+def brute_nearest(vectors, k=20):
+    floor = lambda v: [int(np.floor(64 * x)) if abs(x) < 1e300 else 64 * int(x) for x in v]
+    good = [(i, floor(v)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want, scores = [], {}
+    for q, a in {(i, tuple(v)) for i, v in good if i % 20 == 0}:
+        scores.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
+    for q, s in scores.items():
+        want += [(q, n + 1, i, min(max(-x, -(1 << 63)), (1 << 63) - 1)) for n, (x, i) in enumerate(sorted(s)[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("size", [7, 32_768])
+def test_nearest(spark, size, monkeypatch):
+    monkeypatch.setattr(op6_nearest, "CANDIDATES", size)
     r = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in r.normal(size=8).astype(np.float32)]) for i in range(400)] + [(400, None), (401, []), (402, [None] * 8), (403, [float("nan")] * 8), (404, [1.0] * 3), (None, [1.0] * 8)]
-    vectors += [(500 + i, [0.5] * 8) for i in range(30)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
-    good = [(i, np.floor(64 * np.array(v, np.float64)).astype(int)) for i, v in vectors if i is not None and v and None not in v and not any(np.isnan(v))]
-    want = []
-    for q, a in good:
-        if q % 20 == 0:
-            s = sorted((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))[:20]
-            want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
-    assert sorted(tuple(x) for x in op6_nearest.top_k(df).collect()) == sorted(want)
+    vectors += [(500 + i, [0.5] * 8) for i in range(30)] + [(420, []), (20, [0.25] * 8), (40, vectors[40][1]), (41, vectors[41][1]), (405, [float("inf")] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5).withColumns({"block": F.lit(1), "g": F.lit("x"), "query": F.lit(2.0), "v": F.lit(None).cast("int")})
+    assert sorted(tuple(x) for x in op6_nearest.top_k(df).collect()) == brute_nearest(vectors)
+    assert op6_nearest.top_k(df.limit(0)).collect() == []
+
+
+def test_nearest_of_large_components(spark):
+    vectors = [(20, [1e38, 2.0, -1.0]), (1, [1e38, 0.0, 0.0]), (2, [-3e38, 1e12, 5.0]), (40, [1.0, 2.0, 3.0]), (3, [1e9, -1e9, 1e9]), (4, [0.1, 0.2, 0.3]), (60, [1.7e308, 1.0, 1.0]), (5, [-1.7e308, 1e10, 2.5])]
+    got = sorted(tuple(x) for x in op6_nearest.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=4).collect())
+    assert got == brute_nearest(vectors, 4)
+
+
+def test_nearest_finds_blocks_again(spark):
+    """A task that runs again, as after a lost executor, names the same blocks."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, v array<double>").repartition(3)
+    blocks = op6_nearest._blocks(rows, 7, 64, True)
+    first = sorted((b.block, bytes(b.ids), bytes(b.cells)) for b in blocks.collect())
+    assert first == sorted((b.block, bytes(b.ids), bytes(b.cells)) for b in blocks.collect()) and len({b[0] for b in first}) == len(first)
 
 
 def test_url_filter(spark):
