@@ -1,74 +1,113 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 Test strings are windows of an item's words. For each length of windows, a shift table says for every block of
-two words how far the search may jump; where it says 0, the block ends a test string, the bucket of that suffix
-holds those strings, and direct comparison confirms.
+two words (by its hash) how far the search may jump; where it says 0, the block may end a test string, the bucket of
+that suffix holds those strings, and direct comparison of the words confirms.
+
+Tables are numpy arrays: some 20 bytes for each byte of benchmark text. A Python worker keeps one set of them at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Numbered, as_bytes, write_side
+from tesserae.llm.common import Numbered, Words, as_bytes, chunks, grams, write_side
 
 #: Separators become spaces and A-Z small letters; all bytes of 0x80 and over belong to words.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched for in several scans.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+def words_of(texts: list[bytes | None]) -> Words:
+    return Words([t.translate(_TABLE) if t else t for t in texts])
+
+
+def _slice(words: Words, a: int, b: int) -> list[bytes]:
+    return words.joined[words.starts[a] : words.ends[b - 1]].split()
+
+
+class _Table:
+    """Shifts and buckets of the windows of m words that start at the given words of all items."""
+
+    def __init__(self, words: Words, hashes: np.ndarray, m: int, starts: np.ndarray):
+        self.m, self.block = m, min(2, m)
+        blocks = grams(hashes, self.block)
+        self.bits = np.uint64(64 - max(16, int(np.ceil(np.log2(8 * m * len(starts))))))
+        jump = m - self.block + 1
+        self.shift = np.full(1 << (64 - int(self.bits)), jump, np.uint8)
+        for end in range(self.block, m + 1):  # the smallest shift of a block comes last
+            self.shift[(blocks[starts + end - self.block] >> self.bits).astype(np.int64)] = m - end
+        suffix, whole = blocks[starts + m - self.block], grams(hashes, m)[starts]
+        order = np.lexsort((starts, whole, suffix))
+        self.suffix, self.whole, self.starts = suffix[order], whole[order], starts[order]
+
+    def occurrences(self, words: Words, hashes: np.ndarray, items: Words):
+        """(first word, item number) of each occurrence of a window."""
+        m, block = self.m, self.block
+        if len(hashes) < m:
+            return
+        blocks = grams(hashes, block)
+        shifts = self.shift[(blocks >> self.bits).astype(np.int64)].tobytes()
+        end, n, ends = m, len(hashes), []
+        while end <= n:
+            if s := shifts[end - block]:
+                end += s
+            else:
+                ends.append(end)
+                end += 1
+        ends = np.array(ends, np.int64)
+        ends = ends[words.owner[ends - m] == words.owner[ends - 1]]
+        suffix, whole = blocks[ends - block], grams(hashes, m)[ends - m]
+        low, high = np.searchsorted(self.suffix, suffix, "left"), np.searchsorted(self.suffix, suffix, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            bucket = self.whole[low[i] : high[i]]
+            at = low[i] + int(np.searchsorted(bucket, whole[i]))
+            first, own = int(ends[i]) - m, None
+            while at < high[i] and self.whole[at] == whole[i]:
+                own = own or _slice(words, first, first + m)
+                start = int(self.starts[at])
+                if _slice(items, start, start + m) == own:
+                    yield first, int(items.owner[start])
+                at += 1
 
 
 class Searcher:
-    """Shift tables and suffix buckets of all windows of some items."""
+    """Shift tables and suffix buckets of all windows of some items (name, text)."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = 10):
-        by_length: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for name, text in items:
-            words = tuple(words_of(text))
-            m = min(width, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                by_length[m][words[i : i + m]].add(name)
-        self.tables = []
-        for m, windows in sorted(by_length.items()):
-            block = min(2, m)
-            shift: dict[tuple, int] = {}
-            bucket: dict[tuple, dict[tuple, set[str]]] = defaultdict(dict)
-            for window, names in windows.items():
-                for end in range(block, m + 1):
-                    b = window[end - block : end]
-                    shift[b] = min(shift.get(b, m), m - end)
-                bucket[window[-block:]][window] = names
-            self.tables.append((m, block, shift, dict(bucket)))
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged ranges of hit words of all occurrences, and the items they belong to."""
-        found, names = [], set()
-        n = len(words)
-        for m, block, shift, bucket in self.tables:
-            end, jump = m, m - block + 1
-            while end <= n:
-                b = tuple(words[end - block : end])
-                s = shift.get(b, jump)
-                if s:
-                    end += s
-                    continue
-                owners = bucket[b].get(tuple(words[end - m : end]))
-                if owners:
-                    found.append((end - m, end))
-                    names |= owners
-                end += 1
-        return merged(found), names
+        self.names = [name for name, _ in items]
+        self.words = words = words_of([text for _, text in items])
+        hashes, sizes = words.hashes(), np.diff(words.first)
+        place = np.arange(len(words.owner)) - words.first[:-1][words.owner]
+        length = np.minimum(sizes, width)[words.owner]  # of the windows of each word's item
+        fits = place + length <= sizes[words.owner]
+        self.tables = [_Table(words, hashes, int(m), np.flatnonzero(fits & (length == m))) for m in np.unique(length)]
+
+    def search(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """For each text: its words, merged ranges of hit words of all occurrences, and the items they belong to."""
+        words = words_of(texts)
+        hashes = words.hashes()
+        found: dict[int, tuple[list, set]] = {}
+        for table in self.tables:
+            for first, item in table.occurrences(words, hashes, self.words):
+                text = int(words.owner[first])
+                ranges, names = found.setdefault(text, ([], set()))
+                at = first - int(words.first[text])
+                if not ranges or ranges[-1][0] != at:
+                    ranges.append((at, at + table.m))
+                names.add(self.names[item])
+        sizes = np.diff(words.first).tolist()
+        return [(n, merged(found[i][0]), found[i][1]) if i in found else (n, [], set()) for i, n in enumerate(sizes)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,22 +130,32 @@ def _slices(benchmark: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
         yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
+_LAST: dict[tuple, Searcher] = {}
+
+
+def searcher_of(name: str, shared, width: int) -> Searcher:
+    """The Searcher of a broadcast slice, which a Python worker keeps until it meets another slice."""
+    if (name, width) not in _LAST:
+        _LAST.clear()
+        _LAST[name, width] = Searcher(shared.value, width)
+    return _LAST[name, width]
+
+
 def search_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_BYTES) -> DataFrame:
     """pid, pos, doc_id, n_words, ranges (start, end pairs of hit words), items for each document and slice."""
     scan = docs if isinstance(docs, Numbered) else Numbered(docs, "doc_id")
     parts = []
     for items in _slices(benchmark, limit):
-        shared = scan.spark.sparkContext.broadcast(items)
+        shared, name = scan.spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def step(pid, batches, _, shared=shared):
-            searcher, pos = Searcher(shared.value, width), 0
+        def step(pid, batches, _, shared=shared, name=name):
+            searcher, pos = searcher_of(name, shared, width), 0
             for batch in batches:
-                rows = []
-                for i, t in zip(batch.column("k").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                    words = words_of(t)
-                    ranges, names = searcher.search(words)
-                    rows.append((pid, pos, i, len(words), [x for r in ranges for x in r], sorted(names)))
-                    pos += 1
+                rows, ids, texts = [], batch.column("k").to_pylist(), as_bytes(batch.column("text"))
+                for a, b in chunks(texts):
+                    for i, (n, ranges, names) in zip(ids[a:b], searcher.search(texts[a:b]), strict=True):
+                        rows.append((pid, pos, i, n, [x for r in ranges for x in r], sorted(names)))
+                        pos += 1
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["pid", "pos", "doc_id", "n_words", "ranges", "items"])
 
