@@ -5,8 +5,9 @@ languages at once: the masks at its positions, ANDed, name all languages that co
 the n-grams with its bit are counted, the count is corrected for the filter's known rate of false positives,
 and the greatest share decides. n-grams are four bytes of small letters with single spaces between words.
 
-A language's filter holds n-grams that are about as frequent there as in any other language at least; they are
-counted on `sample` documents of each language at most, chosen by hash of their id.
+A language's filter holds all n-grams that are about as frequent there as in any other language at least; they are
+counted on `sample` documents of each language at most, chosen by hash of their id. The filter's size follows the
+number of n-grams.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import as_bytes, bounded_batches
+from tesserae.llm.common import as_bytes, bounded_batches, discard, stored
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 PROBES = 3
@@ -57,8 +58,10 @@ class Model:
     false_rate: np.ndarray
 
     @classmethod
-    def build(cls, features: dict[str, np.ndarray], bits: int = 20) -> Model:
+    def build(cls, features: dict[str, np.ndarray], bits: int | None = None) -> Model:
+        """bits: of a position; if None, so that a language has ten positions or more for each of its n-grams."""
         languages = sorted(features)
+        bits = bits or max(20, int(np.ceil(np.log2(10 * max([1, *map(len, features.values())])))))
         planes = [np.zeros(1 << bits, np.uint64) for _ in range(-(-len(languages) // PLANE))]
         rates = []
         for n, lang in enumerate(languages):
@@ -94,17 +97,27 @@ class Model:
         return self.ranked(text)[:2]
 
 
-def train(docs: DataFrame, sample: int = 2000, features: int = 40_000, bits: int = 20) -> Model:
+def _sampled(rows: DataFrame, sample: int) -> set[int]:
+    """Ids of the `sample` documents of each language (columns doc_id, lang) with the smallest hashes.
+
+    A language may hold most of all rows, so only those under a bound that some four times `sample` pass are ordered."""
+    h = F.xxhash64("doc_id")
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # one row a language
+    under = rows.select("doc_id", "lang").withColumn("h", h).join(F.broadcast(counted), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 4.0 * sample / F.col("rows"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    picked = under.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    return {r["doc_id"] for r in picked.select("doc_id").collect()}  # sample * languages at most
+
+
+def train(docs: DataFrame, sample: int = 2000, bits: int | None = None) -> Model:
     """A model of the non-null languages of docs, from documents with crc32(doc_id) mod 3 other than 1.
 
-    Bounds: `sample` documents and `features` n-grams of each language.
+    Bound: `sample` documents of each language. Rows with a null doc_id, lang or text teach nothing.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    ids = spark.sparkContext.broadcast({r["doc_id"] for r in picked.select("doc_id").collect()})  # sample * languages at most
+    ids = spark.sparkContext.broadcast(_sampled(rows, sample))
 
     def count(batches):
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -123,14 +136,14 @@ def train(docs: DataFrame, sample: int = 2000, features: int = 40_000, bits: int
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["lang", "g", "c"])
 
     counted = rows.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    total = F.sum("c").over(Window.partitionBy("lang"))
-    rated = counted.withColumn("rate", F.col("c") / total).withColumn("most", F.max("rate").over(Window.partitionBy("g")))
-    own = Window.partitionBy("lang").orderBy(F.desc("c"), "g")
-    chosen = rated.where("c > 1 and rate >= 0.25 * most").withColumn("n", F.row_number().over(own)).where(F.col("n") <= features)
-    found: dict[str, list[int]] = {}
-    for r in chosen.select("lang", "g").collect():  # features * languages at most
-        found.setdefault(r["lang"], []).append(r["g"])
-    return Model.build({k: np.array(sorted(v), np.uint32) for k, v in found.items()}, bits)
+    counted = stored(counted, "ngrams")
+    totals = counted.groupBy("lang").agg(F.sum("c").alias("total"))  # one row a language
+    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("c") / F.col("total")).withColumn("most", F.max("rate").over(Window.partitionBy("g")))
+    chosen = rated.where("c > 1 and rate >= 0.25 * most").select("lang", "g").toArrow()  # of `sample` documents a language at most
+    discard(spark, counted)
+    names, grams = chosen.column("lang").to_pandas(), chosen.column("g").to_numpy()
+    found = {k: np.sort(grams[at]).astype(np.uint32) for k, at in names.groupby(names).indices.items()}
+    return Model.build(found, bits)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -160,9 +173,7 @@ def least_scores(docs: DataFrame, model: Model, sample: int = 2000, below: float
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    ids = docs.sparkSession.sparkContext.broadcast({r["doc_id"] for r in picked.select("doc_id").collect()})  # sample * languages at most
+    ids = docs.sparkSession.sparkContext.broadcast(_sampled(rows, sample))
 
     def run(batches):
         for batch in batches:
