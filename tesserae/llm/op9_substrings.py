@@ -4,8 +4,10 @@ A window is `width` consecutive words. Its five-word runs are hashed and the sma
 (winnowing: equal windows have equal anchors, so no repeat of `width` words goes without a common anchor).
 1. Documents are joined on anchors: each scan partition sends the anchors of its windows with the smallest
    document that has them, and gets back those that other documents have too.
-2. From a shared anchor, the match is extended both ways to the whole window: windows with shared anchors are
-   sent as 128-bit hashes, and each one that starts in a smaller document comes back.
+2. Matches are extended both ways from shared anchors, to the whole windows that hold them. Not word by word for each
+   pair of documents, as seed and extend does as a rule: a passage in a third of all documents would be all pairs of
+   them. Instead each window around a shared anchor is sent once by a partition as a 128-bit hash, and each one that
+   starts in a smaller document comes back. What the pairs would find is the same, but for chance equality of hashes.
 3. Adjoining windows found repeated merge into maximal repeats, whose words are removed.
 Each anchor or window is sent once by a partition, so a passage in a third of all documents costs one row for
 each partition and no pair of documents is ever made. Texts are scanned three times and never shuffled.
@@ -128,8 +130,9 @@ def repeats(docs: DataFrame, width: int = 13) -> tuple[Numbered, str]:
 
     sent = scan.scan(_sender(find_anchors, ["h"]), "pid int, h long, low long, high long", ["text"])
     same = Window.partitionBy("h")
+    # as many tasks as the scan has, each with about the share of a scan partition
     shared = (
-        sent.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)})
+        sent.repartition(scan.partitions, "h").withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)})
         .where("least < most")
     )
     anchors = write_side(shared.select("pid", "h", "least"), "anchors", scan)
@@ -155,7 +158,7 @@ def repeats(docs: DataFrame, width: int = 13) -> tuple[Numbered, str]:
 
     sent = scan.scan(windows_step, "pid int, h long, g long, low long, high long", ["text"], anchors)
     same = Window.partitionBy("h", "g")
-    again = sent.withColumn("least", F.min("low").over(same)).where("high > least").select("pid", "h", "g", "least")
+    again = sent.repartition(scan.partitions, "h").withColumn("least", F.min("low").over(same)).where("high > least").select("pid", "h", "g", "least")
     return scan, write_side(again, "windows", scan)
 
 
