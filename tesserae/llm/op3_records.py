@@ -191,7 +191,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0,
         if out:
             yield close()
 
-    encoded = rows.mapInArrow(encode, "shard int, k long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "k", "ids")
+    encoded = rows.mapInArrow(encode, "shard int, k long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "k", "ids")
     written = sorted(encoded.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").collect(), key=lambda r: r["shard"])
     start, manifest = 0, []
     for r in written:  # a row for each shard
@@ -242,4 +242,4 @@ def read_records(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = max(1, manifest.count())
-    return manifest.select("shard", "path", "start").repartition(shards, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "path", "start").repartitionById(shards, F.col("shard")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
