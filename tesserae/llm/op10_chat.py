@@ -1,7 +1,8 @@
 """Chat formatting with schema fingerprints.
 
-The nested field paths of a record (names and kinds, sorted) are hashed to a fingerprint, which selects a
-declarative mapping; the mapping converts the layout into canonical turns (role, text). Layouts of the registry:
+The nested field paths of a record (names and kinds, sorted) that any registered layout knows are hashed to a
+fingerprint, which selects a declarative mapping; the mapping converts the layout into canonical turns (role, text).
+Further fields (an id, a name, a score) say nothing of the layout. Layouts of the registry:
 prompt and completion, instruction with optional input, message lists with role and content or from and value,
 and tables with a row for each turn.
 
@@ -44,8 +45,6 @@ def format_turn(role: str, text: str) -> tuple[str, tuple[int, int]]:
     return f"{head}{body}{END}", (len(head), len(head) + len(body))
 
 
-
-
 def parse_turns(text: str) -> Iterator[tuple[str, str]]:
     """Roles and texts of formatted turns."""
     at = 0
@@ -96,6 +95,7 @@ MAPPINGS = [
     ({"conv_id:number", "turn:number", "role:text", "text:text"}, [("role", "text")]),
 ]
 BY_FINGERPRINT = {fingerprint(paths): turns for paths, turns in MAPPINGS}
+KNOWN = frozenset().union(*(paths for paths, _ in MAPPINGS))
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -110,8 +110,9 @@ def _walk(record, path: str) -> list[str]:
 
 
 def turns_of(record: dict) -> list[tuple[str, str]] | None:
-    """Canonical turns of one record, or None where no mapping has its fingerprint. Keys with nulls are absent."""
-    mapping = BY_FINGERPRINT.get(fingerprint(paths_of(record)))
+    """Canonical turns of one record, or None where no mapping has its fingerprint. Keys with nulls are absent; a record
+    that has fields of several layouts is of none of them."""
+    mapping = BY_FINGERPRINT.get(fingerprint(paths_of(record) & KNOWN))
     if mapping is None:
         return None
     out = []
@@ -128,7 +129,7 @@ def canonical_records(records: DataFrame, column: str = "record") -> DataFrame:
     """conv_id, fingerprint, turn, role, text from JSON texts of any registered layout (columns conv_id, record).
 
     A record that is null, no JSON object or of an unknown layout gives one row with a null turn, so none
-    is lost unseen.
+    is lost unseen. fingerprint is that of the known paths, or of all paths where no layout has these.
     """
 
     def run(batches):
@@ -140,7 +141,8 @@ def canonical_records(records: DataFrame, column: str = "record") -> DataFrame:
                 except ValueError:
                     record = None
                 turns = turns_of(record) if isinstance(record, dict) else None
-                mark = fingerprint(paths_of(record)) if isinstance(record, dict) else None
+                paths = paths_of(record) if isinstance(record, dict) else None
+                mark = None if paths is None else fingerprint(paths & KNOWN if turns else paths)
                 rows += [(i, mark, n, r, t) for n, (r, t) in enumerate(turns)] if turns else [(i, mark, None, None, None)]
             if rows:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
