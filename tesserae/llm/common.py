@@ -86,19 +86,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of an odd base modulo 2**64 and of its inverse; those of a usual step are kept."""
 
     def __init__(self, base: int):
-        self.base, self.n = base, 0
+        self.base, self.kept = base, None
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, CHUNK_BYTES + 4096)
-            inverse = pow(self.base, -1, 1 << 64)
-            up, down = (np.full(self.n, b, np.uint64) for b in (self.base, inverse))
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up[:n], self.down[:n]
+        if self.kept is not None and n <= len(self.kept[0]):
+            return self.kept[0][:n], self.kept[1][:n]
+        size = max(n, CHUNK_BYTES + 4096)
+        powers = []
+        for base in (self.base, pow(self.base, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            powers.append(np.multiply.accumulate(x))
+        if size == CHUNK_BYTES + 4096:
+            self.kept = tuple(powers)
+        return powers[0][:n], powers[1][:n]
 
 
 _POWERS = {0: _Powers(0x9E3779B97F4A7C15), 1: _Powers(0xD6E8FEB86659FD93)}
@@ -127,12 +131,20 @@ class Words:
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        n = len(self.buffer)
-        up, down = _POWERS[seed].get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.buffer.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        """In blocks of words of about CHUNK_BYTES, so that a very long text needs little more than itself."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            base = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, "right")))
+            starts, ends = self.starts[i:j] - base, self.ends[i:j] - base
+            n = int(ends[-1])
+            up, down = _POWERS[seed].get(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.buffer[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            raw = (sums[ends] - sums[starts]) * down[starts]
+            out[i:j] = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            i = j
+        return out
 
 
 def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
