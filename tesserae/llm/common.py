@@ -44,10 +44,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Has Arrow batches of texts stay small: 1000 rows unless the session asks for fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > 1000:
-        spark.conf.set(name, "1000")
+    """Has Arrow batches of texts stay small, 1000 rows and 16 MB, unless the session asks for less.
+
+    A setting of the session, since batches are made when a query runs; results don't depend on it."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        size = int(now.removesuffix("b")) if now and now.removesuffix("b").lstrip("-").isdigit() else -1
+        if not 0 < size <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
