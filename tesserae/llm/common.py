@@ -254,17 +254,17 @@ class Numbered:
         return source.mapInArrow(run, schema)
 
 
-#: Scan partitions whose side rows lie in one folder, sorted by partition.
+#: Scan partitions whose side rows lie in one folder, in files sorted by partition.
 SIDE_PARTITIONS = 16
 
 
 def write_side(rows: DataFrame, name: str, scan: Numbered) -> str:
     """Writes rows, which have a column pid, as a side table of the scan; returns its path.
 
-    There is a task and a folder for each `SIDE_PARTITIONS` partitions of the scan, so both follow the input."""
+    There is a task for each partition of the scan and a folder for each `SIDE_PARTITIONS` of them."""
     path = work_dir(rows.sparkSession, name)
     part = F.floor(F.col("pid") / SIDE_PARTITIONS).cast("int")
-    dealt = rows.withColumn("part", part).repartition(-(-scan.partitions // SIDE_PARTITIONS), "part").sortWithinPartitions("part", "pid")
+    dealt = rows.withColumn("part", part).repartitionById(scan.partitions, F.col("pid")).sortWithinPartitions("part", "pid")
     dealt.write.option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
     return path
 
