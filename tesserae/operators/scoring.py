@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,29 @@ def grade_multiple(pred: Column, gold: Column, mode: str = "partial_penalty", wr
     return F.when(n_gold == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (right - wrong_weight * (n_pred - right)) / F.nullif(n_gold, F.lit(0))))
 
 
-def _groups() -> Column:
-    return F.array(*[F.array(*[F.lit(w) for w in g]) for g in T.SYNONYMS])
+def _synonyms() -> dict[str, list[str]]:
+    """Each normalised word of a group of synonyms with the whole group; no word is in two groups."""
+    groups = [[re.sub(T.ANSWER_PUNCTUATION, "", w.strip().lower()) for w in g] for g in T.SYNONYMS]
+    words = {w: g for g in groups for w in g}
+    if len(words) != sum(map(len, groups)):
+        raise ValueError("a word is in two groups of synonyms")
+    return words
+
+
+_SYNONYMS = _synonyms()
 
 
 def alternatives(blank: Column) -> Column:
-    """The whole, its parts between slashes, and synonyms of these, in one pass over the groups."""
+    """The whole, its parts between slashes, and synonyms of these, which are looked up in a map of literals."""
     own = F.filter(F.array_distinct(F.concat(F.array(T.answer_norm(blank)), F.transform(F.split(blank, "[/／]"), T.answer_norm))), lambda x: x != "")
-    groups = F.transform(_groups(), lambda g: F.transform(g, T.answer_norm))
-    return F.aggregate(groups, own, lambda acc, g: F.when(F.arrays_overlap(acc, g), F.array_union(acc, g)).otherwise(acc))
+    groups = F.create_map(*[x for w, g in _SYNONYMS.items() for x in (F.lit(w), F.array(*map(F.lit, g)))])
+    known = F.filter(own, lambda w: w.isin(*_SYNONYMS))
+    return F.when(F.size(known) == 0, own).otherwise(F.array_union(own, F.flatten(F.transform(known, lambda w: F.element_at(groups, w)))))
 
 
 def rule_reward(expected: Column, completion: Column, boxed: Column, mode: str = "partial_penalty", wrong_weight: float = 0.5) -> Column:
     """The score of one completion; boxed is the content of its last box (null: none)."""
-    kind = F.regexp_extract(expected, r"^\s*\[(\w+)\]", 1)
+    kind = F.regexp_extract(expected, r"(?U)^\s*\[(\w+)\]", 1)
     gold = T.stripped(T.gold_payload(expected))
     same = F.when(F.array_sort(T.letters(boxed)) == F.array_sort(T.letters(gold)), 1.0).otherwise(0.0)
     blanks = F.split(gold, r"\|\|\|")
