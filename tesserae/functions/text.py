@@ -52,20 +52,22 @@ def tokens(text: Column) -> Column:
         own = F.when(n.between(2, 6), F.array(run)).otherwise(F.array().cast("array<string>"))
         return F.concat(one, two, own)
 
-    every = F.concat(words, F.flatten(F.transform(runs, grams)))
-    return F.coalesce(F.filter(every, lambda t: ~t.isin(*STOP_TERMS)), F.array().cast("array<string>"))
+    # the dear branches are for the texts that need them
+    every = F.when(low.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"), F.concat(words, F.flatten(F.transform(runs, grams)))).otherwise(words)
+    kept = F.when(low.rlike("|".join(STOP_TERMS)), F.filter(every, lambda t: ~t.isin(*STOP_TERMS))).otherwise(every)
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def search_query(text: Column, most: int = 256) -> Column:
     """The last search action, closed or trailing; null where there is none, empty where it is blank."""
-    after = F.element_at(F.split(text, r"(?i)<search(?:\s[^>]*)?>"), -1)
-    inside = F.element_at(F.split(after, r"(?i)</search\s*>"), 1)
-    return F.when(text.rlike(r"(?i)<search(?:\s[^>]*)?>"), F.substring(collapsed(inside), 1, most))
+    after = F.element_at(F.split(text, r"(?iU)<search(?:\s[^>]*)?>"), -1)
+    inside = F.element_at(F.split(after, r"(?iU)</search\s*>"), 1)
+    return F.when(text.rlike(r"(?iU)<search(?:\s[^>]*)?>"), F.substring(collapsed(inside), 1, most))
 
 
 def question_context(query: Column) -> Column:
-    marked = F.regexp_extract(query, r"(?is)题目\s*[：:]\s*(.*?)(?=\n\s*选项\s*[：:]|\z)", 1)
-    return F.when(query.rlike(r"题目\s*[：:]"), collapsed(marked)).otherwise(collapsed(query))
+    marked = F.regexp_extract(query, r"(?isU)题目\s*[：:]\s*(.*?)(?=\n\s*选项\s*[：:]|\z)", 1)
+    return F.when(query.rlike(r"(?U)题目\s*[：:]"), collapsed(marked)).otherwise(collapsed(query))
 
 
 def retrieval_query(model: Column, original: Column, bank: Column) -> Column:
@@ -107,11 +109,11 @@ def answer_norm(c: Column) -> Column:
 
 
 def gold_type(expected: Column) -> Column:
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(expected, r"^\s*\[(\w+)\]", 1)), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(expected, r"(?U)^\s*\[(\w+)\]", 1)), F.lit("")), F.lit("unknown"))
 
 
 def gold_payload(expected: Column) -> Column:
-    return F.regexp_extract(expected, r"(?s)^\s*\[\w+\]\s*(.*)$", 1)
+    return F.regexp_extract(expected, r"(?sU)^\s*\[\w+\]\s*(.*)$", 1)
 
 
 def keypoints(expected: Column) -> Column:

@@ -11,11 +11,12 @@ from tesserae.operators import curation, scoring
 from tesserae.operators.curation import issues
 
 # Terms that are no answer by themselves, and phrases that completions are padded with.
-GENERIC_SHORT_TERMS = (
-    "代码 设备 流程 系统 问题 方法 操作 功能 数据 信息 程序 工艺 原因 结果 内容 步骤 参数 标准 规范 技术 软件 硬件 模块 平台 工具 产品 材料 文件 文档 测试 方案 "
-    "code device equipment process system method operation procedure data program"
-).split()
-TEMPLATE_TERMS = "依据检索证据 根据检索证据 依据证据 根据证据 最终答案 答案是 答案为 分析后 因此 所以 可知 答案".split()
+GENERIC_SHORT_TERMS = [
+    "代码", "设备", "流程", "系统", "问题", "方法", "操作", "功能", "数据", "信息", "程序", "工艺", "原因", "结果",
+    "内容", "步骤", "参数", "标准", "规范", "技术", "软件", "硬件", "模块", "平台", "工具", "产品", "材料", "文件",
+    "文档", "测试", "方案", "code", "device", "equipment", "process", "system", "method", "operation", "procedure", "data", "program",
+]
+TEMPLATE_TERMS = ["依据检索证据", "根据检索证据", "依据证据", "根据证据", "最终答案", "答案是", "答案为", "分析后", "因此", "所以", "可知", "答案"]
 POINT_ISSUES = ["generic_keypoint", "very_short_keypoint", "question_high_overlap", "topic_as_answer"]
 GUIDANCE_MARKS = r"\n\n还可检索|\n\n检索次数已用完|\n\[检索反馈\]|\n\[检索约束\]"
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators.curation import issues
+from tesserae.operators.retrieval import quality_category
+from tesserae.operators.sampling import ordered
 
 # Patterns of answers, of sentences that don't stand alone, and answers that are too common.
 SENTENCE_END = r"(?<=[。！？!?；;])|\n+"
@@ -30,10 +32,11 @@ FRAGMENTS = [
 COMPLETE_END = r"[。！？!?.)）\]】]$"
 COMPLETE_ENGLISH = r"(?i)\b(?:is|are|means|stands\s+for|was|were|has|have|can|will|shall|requires?|contains?|consists?)\b"
 BANNED_SOURCE = r"(?i)试题|试卷|考题|题库|考试|练习题|测验|答案|certify|quiz|exam"
-BANNED_ANSWERS = "fab wafer lot job step item system server new note page pac pdf rev sop pe yes no".split()
+BANNED_ANSWERS = ["fab", "wafer", "lot", "job", "step", "item", "system", "server", "new", "note", "page", "pac", "pdf", "rev", "sop", "pe", "yes", "no"]
+BANNED_SENTENCE = r"【|____|答案"
 PROMPT_HEAD = "下面是一道技术资料填空题，共 %d 个空。请先检索资料，再按编号顺序填写。\n把最终答案放入 \\boxed{}，各空用“;”分隔。\n\n题目：\n"
 BLANK = "【1】"
-WINDOW = 100
+WINDOW, SENTENCE_LENGTH = 100, (28, 220)
 
 
 def sentences(text: Column) -> Column:
@@ -93,13 +96,16 @@ def model_query(heading: Column, masked: Column, answer: Column) -> Column:
 
 def candidates(chunk: DataFrame, per_source: int = 3) -> DataFrame:
     """candidate_id, source, heading, sentence, masked_sentence, answer, answer_kind, model_query of chunks
-    (chunk_id, source, heading, text): the first acceptable answer of a sentence, up to per_source of a source.
+    (chunk_id, source, heading, text) of class reference: the first acceptable answer of a sentence of 28 to 220 characters
+    that has no blank and speaks of no answer itself, up to per_source of a source.
 
     Sentences are in the order of chunk and place; a sentence that chunks share counts once. The limit by source
     is the operator's feature. It is a rank-limited window, so Spark keeps per_source rows of a source before it
     shuffles them.
     """
-    rows = chunk.where(~F.col("source").rlike(BANNED_SOURCE)).select("chunk_id", "source", "heading", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    reference = quality_category(F.col("source"), F.col("heading"), F.col("text")) == "reference"
+    rows = chunk.where(~F.col("source").rlike(BANNED_SOURCE) & reference).select("chunk_id", "source", "heading", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = rows.where(F.length("sentence").between(*SENTENCE_LENGTH) & ~F.col("sentence").rlike(BANNED_SENTENCE))
     tried = rows.withColumn("a", F.get(F.filter(answers(F.col("sentence")), lambda a: F.size(quality_issues(F.col("sentence"), a.answer, a.kind)) == 0), 0)).where("a is not null")
     first = tried.groupBy(F.sha2("sentence", 256).alias("candidate_id")).agg(F.min(F.struct("chunk_id", "pos", "source", "heading", "sentence", "a")).alias("c")).select("candidate_id", "c.*")
     few = first.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("chunk_id", "pos"))).where(F.col("r") <= per_source)
@@ -125,11 +131,10 @@ def pairs(rows: DataFrame) -> DataFrame:
     the first of the 99 after it, in a ring by id, that it can be paired with; no pair twice.
 
     Rows meet in blocks of one window, so a row meets 200 others at most. A pair could come twice only in a ring
-    under 199 rows; those are settled in turn, one small task a split. Pools are numbered by a window over a split.
+    under 199 rows; those are settled in turn, one small task a split. Pools are numbered in buckets of ids.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("split"))
-    at = F.row_number().over(Window.partitionBy("split").orderBy("candidate_id")) - 1
-    placed = rows.select("candidate_id", "split", "source", T.answer_free(F.col("masked_sentence")).alias("one"), T.answer_free(F.replace(F.col("masked_sentence"), F.lit(BLANK), F.lit("2"))).alias("two"), T.answer_free(F.col("answer")).alias("key"), T.answer_free(F.coalesce("model_query", F.lit(""))).alias("asked"), at.alias("at"), n.alias("n"))
+    sizes = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))  # one row a split
+    placed = ordered(rows, ["split"], "candidate_id", "place").join(F.broadcast(sizes), "split").select("candidate_id", "split", "source", T.answer_free(F.col("masked_sentence")).alias("one"), T.answer_free(F.replace(F.col("masked_sentence"), F.lit(BLANK), F.lit("2"))).alias("two"), T.answer_free(F.col("answer")).alias("key"), T.answer_free(F.coalesce("model_query", F.lit(""))).alias("asked"), (F.col("place") - 1).alias("at"), "n")
     block = F.floor(F.col("at") / WINDOW)
     # the ring's first rows follow its last ones: they also stand n places further on
     wrapped = placed.unionByName(placed.where(F.col("at") < WINDOW - 1).withColumn("at", F.col("at") + F.col("n")))

@@ -115,7 +115,8 @@ def last_of_role(messages: Column, role: str) -> Column:
 
 def leaked_points(query: Column, original: Column, points: Column) -> Column:
     """Indexes of points with an alternative in the query that the original lacks."""
-    return F.filter(F.sequence(F.lit(0), F.size(points) - 1), lambda i: F.exists(F.element_at(points, i + 1), lambda a: F.contains(query, a) & ~F.contains(original, a)))
+    all_ = F.when(F.size(points) > 0, F.sequence(F.lit(0), F.size(points) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(all_, lambda i: F.exists(F.element_at(points, i + 1), lambda a: F.contains(query, a) & ~F.contains(original, a)))
 
 
 def query_rejection(query: Column, first: Column, context: Column, points: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.sampling import quantile_numbered
+
 
 def clipped(reward: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), reward.cast("double")))
@@ -60,10 +62,12 @@ def unpaired_keys(baseline: DataFrame, candidate: DataFrame, key: str = "row_ind
 def gate(summaries: DataFrame, baseline: str, least_gain: float = 0.0) -> DataFrame:
     """Each run's criteria against the baseline, and the run that is best among those that pass.
 
-    summaries has run, accuracy, perfect_count, step; best is by accuracy, perfect rows and the earliest step.
+    summaries has run, accuracy, perfect_count, step; best is by accuracy, perfect rows and the earliest step. The query
+    fails if the baseline is missing or there twice.
     """
-    base = summaries.where(F.col("run") == baseline).select(F.col("accuracy").alias("a0"), F.col("perfect_count").alias("p0"))
-    rows = summaries.where(F.col("run") != baseline).crossJoin(F.broadcast(base.limit(1)))
+    base = summaries.where(F.col("run") == baseline).agg(F.count(F.lit(1)).alias("_n"), F.max("accuracy").alias("a0"), F.max("perfect_count").alias("p0"))
+    one = F.when(F.col("_n") == 1, F.col("a0")).otherwise(F.raise_error(F.concat(F.lit(f"baseline {baseline}: rows "), F.col("_n").cast("string"))).cast("double"))
+    rows = summaries.where(F.col("run") != baseline).crossJoin(F.broadcast(base.select(one.alias("a0"), "p0")))
     rows = rows.withColumn("passed", (F.col("accuracy") >= F.col("a0") + least_gain) & (F.col("perfect_count") >= F.col("p0")))
     best = rows.where("passed").agg(F.max_by("run", F.struct("accuracy", "perfect_count", -F.col("step"))).alias("best"))
     return rows.crossJoin(F.broadcast(best)).select("run", "step", "accuracy", "perfect_count", "passed", F.coalesce(F.col("run") == F.col("best"), F.lit(False)).alias("is_best"))
@@ -90,15 +94,17 @@ def reward_distribution(rows: DataFrame) -> DataFrame:
 def extremes(rows: DataFrame, n: int) -> DataFrame:
     """n rows from both ends of the rewards (and the middle one if n is odd), with their place idx from 1.
 
-    Only the ends are ranked, so no task sorts more than its own part and the few rows left of others.
+    Only the ends are ranked, so no task sorts more than its own part and the few rows left of others; the middle one is
+    found by its place among buckets of rewards.
     """
     half = n // 2
     high = rows.orderBy(F.desc("reward"), "idx").limit(half)
     low = rows.orderBy("reward", F.desc("idx")).limit(half)
     picked = high.unionByName(low)
     if n % 2:
-        total = rows.count()
-        picked = picked.unionByName(rows.orderBy(F.desc("reward"), "idx").offset(total // 2).limit(1))
+        placed = quantile_numbered(rows.withColumn("_r", -F.col("reward").cast("double")), "_r", "idx", "_place")
+        middle = rows.agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("_middle"))
+        picked = picked.unionByName(placed.join(F.broadcast(middle), F.col("_place") == F.col("_middle")).select(*rows.columns))
     return picked.dropDuplicates(["idx"])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tesserae.functions import text as T
 
@@ -37,6 +38,16 @@ def quantile_numbered(rows: DataFrame, value: str, key: str, name: str, parts: i
     return numbered(held, [], F.struct(value, key), bucket, name).drop("_cuts")
 
 
+def ordered(rows: DataFrame, strata: list[str], key: str, name: str, parts: int = 64) -> DataFrame:
+    """rows with their place (from 1) by key within their stratum: numbers in buckets cut at approximate quantiles of all
+    rows, texts in buckets of their first three characters."""
+    if isinstance(rows.schema[key].dataType, NumericType):
+        cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("_cuts"))
+        return numbered(rows.crossJoin(F.broadcast(cuts)), strata, F.col(key), F.size(F.filter("_cuts", lambda c: c < F.col(key))), name).drop("_cuts")
+    first = sum(F.ascii(F.substring(key, i + 1, 1)).cast("long") * (1 << 21 * (2 - i)) for i in range(3))
+    return numbered(rows, strata, F.col(key), first, name)
+
+
 def _leading(digest: Column) -> Column:
     """The first three hexadecimal digits of a hash: 4,096 buckets of like size."""
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
@@ -101,10 +112,9 @@ def oversampled(rows: DataFrame, times: Column) -> DataFrame:
 
 def cycled(rows: DataFrame, total: int, key: str) -> DataFrame:
     """`total` exposures of rows, in turn by key."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    n = rows.count()
-    slots = rows.sparkSession.range(total).select(F.col("id").alias("exposure"), (F.col("id") % max(1, n)).cast("int").alias("_i"))
-    return slots.join(ranked, "_i").drop("_i")
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    slots = rows.sparkSession.range(total).crossJoin(F.broadcast(n)).select(F.col("id").alias("exposure"), (F.col("id") % F.nullif("_n", F.lit(0)) + 1).alias("_i"))
+    return slots.join(ordered(rows, [], key, "_i"), "_i").drop("_i")
 
 
 def weighted_order(rows: DataFrame, weight: Column, key: str, seed: int = 7) -> DataFrame:
@@ -121,11 +131,11 @@ def curriculum(pools: dict[str, tuple[DataFrame, int]], steps: int, seed: int, k
     """
     out = None
     for name, (rows, per_step) in pools.items():
-        n = rows.count()
-        if n == 0:
+        if rows.isEmpty():
             raise ValueError(f"pool {name} is empty")
+        n = rows.agg(F.count(F.lit(1)).alias("_n"))
         ranked = hash_ranked(rows.select(F.col(key).alias("key"), F.lit(name).alias("pool")), ["pool"], seed, "key")
-        slots = rows.sparkSession.range(steps * per_step).select((F.expr(f"id div {per_step}") + 1).alias("step"), (F.col("id") % per_step).cast("int").alias("slot"), (F.col("id") % n + 1).cast("int").alias("position"))
+        slots = rows.sparkSession.range(steps * per_step).crossJoin(F.broadcast(n)).select((F.expr(f"id div {per_step}") + 1).alias("step"), (F.col("id") % per_step).cast("int").alias("slot"), (F.col("id") % F.col("_n") + 1).alias("position"))
         part = slots.join(ranked, "position").select("step", "slot", "pool", "key")
         out = part if out is None else out.unionByName(part)
     return out

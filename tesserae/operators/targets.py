@@ -152,7 +152,7 @@ def validated(targets: DataFrame, points: DataFrame, evidence: DataFrame) -> Dat
     failed = F.min(F.when(F.col("why").isNotNull(), F.struct("index", "why")))
     gathered = judged.groupBy("target_id").agg(failed.alias("failed"), F.array_sort(F.collect_list(point)).alias("points"), F.collect_list(content_terms(F.col("statement"))).alias("terms"))
     alike = F.exists(
-        F.sequence(F.lit(1), F.size("terms") - 1),
+        F.when(F.size("terms") > 1, F.sequence(F.lit(1), F.size("terms") - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.exists(F.slice("terms", i + 1, F.size("terms")), lambda t: F.size(F.array_intersect(t, F.element_at("terms", i))) >= 0.8 * F.greatest(F.size(F.array_union(t, F.element_at("terms", i))), F.lit(1))),
     )
     late = F.coalesce(F.concat(F.lit("point_"), F.col("failed.index").cast("string"), F.lit(":"), F.col("failed.why")), F.when(alike, "near_duplicate_points"), F.lit("accepted"))
