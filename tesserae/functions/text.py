@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +19,9 @@ from pyspark.sql.types import StringType
 
 # Terms that carry no meaning in questions.
 STOP_TERMS = ["一道", "下面", "作答", "分析", "最终", "答案", "字母", "选项", "题目", "填入", "多个", "所有", "please", "answer", "question"]
+# Terms of two characters and more, in one pattern without a test of their length; and ideographs.
+WORD = r"[a-z0-9]{2,}(?:[._+#/-][a-z0-9]+)*|[a-z0-9](?:[._+#/-][a-z0-9]+)+"
+IDEOGRAPHS = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 # Kinds of tasks that no text can answer, in order of precedence.
 NON_TEXT_TASKS = [("screenshot", r"截图|截屏|screen\s*shot"), ("upload", r"上传|upload"), ("draw", r"画出|绘制|补充.*图|示意图|乌龟图"), ("write_code", r"编写.*代码|写出.*代码|代码实现|实现以下.*(?:程序|函数)")]
 # Groups of equivalent answers.
@@ -41,9 +46,9 @@ def collapsed(c: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The bag of terms of a mixed text: words and joined forms, and of each ideograph run its characters, pairs and the run itself if short."""
-    low = F.lower(text)
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:[._+#/-][a-z0-9]+)*"), F.lit(0)), lambda w: F.length(w) > 1)
-    runs = F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"), F.lit(0))
+    low, none = F.lower(text), F.array().cast("array<string>")
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(IDEOGRAPHS + "+"), F.lit(0))
 
     def grams(run):
         n = F.length(run)
@@ -52,10 +57,11 @@ def tokens(text: Column) -> Column:
         own = F.when(n.between(2, 6), F.array(run)).otherwise(F.array().cast("array<string>"))
         return F.concat(one, two, own)
 
-    # the dear branches are for the texts that need them
-    every = F.when(low.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"), F.concat(words, F.flatten(F.transform(runs, grams)))).otherwise(words)
-    kept = F.when(low.rlike("|".join(STOP_TERMS)), F.filter(every, lambda t: ~t.isin(*STOP_TERMS))).otherwise(every)
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    # lambdas run for each term, so texts without stop words and ideographs do without them
+    free = lambda terms: F.filter(terms, lambda t: ~t.isin(*STOP_TERMS))
+    stops = [F.contains(low, F.lit(w)) for w in STOP_TERMS if w.isascii()]
+    kept = F.when(low.rlike(IDEOGRAPHS), free(F.concat(words, F.flatten(F.transform(runs, grams))))).when(reduce(or_, stops), free(words)).otherwise(words)
+    return F.coalesce(kept, none)
 
 
 def search_query(text: Column, most: int = 256) -> Column:
