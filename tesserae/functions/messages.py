@@ -126,6 +126,12 @@ def query_candidate(generated: Column) -> Column:
     return F.coalesce(T.search_query(text), F.substring(plain, 1, 256))
 
 
+def objective_messages(instructions: str, query: Column, expected: Column) -> Column:
+    """system, user and assistant messages of an objective question; null for other gold strings."""
+    own = F.array(message("system", F.lit(instructions)), message("user", query), message("assistant", boxed_response(expected, False)))
+    return F.when(T.gold_type(expected).isin("single", "multiple", "bool"), own)
+
+
 def model_of_cache_dir(name: Column) -> Column:
     """models--org--name as org/name; else null."""
     return F.when(name.startswith("models--"), F.regexp_replace(F.substring(name, len("models--") + 1, 1 << 20), "--", "/"))

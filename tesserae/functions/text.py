@@ -226,6 +226,17 @@ def clean_log_line(line: Column, now: Column) -> Column:
     return F.when(stripped(bare) == "", line).when(bare.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"), bare).when(bare.rlike(partial), rebuilt).otherwise(F.concat_ws(" ", F.date_format(now, "yyyy-MM-dd HH:mm:ss"), bare))
 
 
+def clean_log_text(text: Column, now: Column) -> Column:
+    """clean_log_line of each line; line ends stay as they are."""
+    lines = F.regexp_extract_all(text, F.lit(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+"), F.lit(0))
+    ends = lambda x: F.regexp_extract(x, r"([\r\n]*)$", 1)
+    return F.array_join(F.transform(lines, lambda x: F.concat(clean_log_line(F.regexp_replace(x, r"[\r\n]+$", ""), now), ends(x))), "")
+
+
+def without_space(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s", "")
+
+
 def clean_cell(c: Column) -> Column:
     return F.regexp_replace(F.translate(stripped(F.regexp_replace(c, "\u00a0", " ")), "\u200b\u200c\u200d\ufeff", ""), r"(?U)\s+", " ")
 

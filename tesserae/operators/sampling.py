@@ -141,6 +141,53 @@ def curriculum(pools: dict[str, tuple[DataFrame, int]], steps: int, seed: int, k
     return out
 
 
+def _turns(rows: DataFrame, pool: str, seed: int, key: str, slots: DataFrame, offset: Column) -> DataFrame:
+    """slots (step and others) with the row that stands at `offset` of the pool's hash order, which is gone round and round."""
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = hash_ranked(rows.withColumn("_pool", F.lit(pool)), ["_pool"], seed, key).drop("_pool")
+    return slots.crossJoin(F.broadcast(n)).withColumn("position", offset % F.nullif("_n", F.lit(0)) + 1).join(ranked, "position").drop("position", "_n")
+
+
+def short_curriculum(holdout: DataFrame, objective: DataFrame, steps: int, seed: int = 42) -> DataFrame:
+    """step, slot, row_id, minimum_searches: for each step an objective, a fill and a short question and a bonus.
+
+    holdout has row_id, kind (fill or short) and search_turns, objective row_id; they must have no row in common. The
+    bonus is a question of two searches in odd steps and any open one in even ones, other than the step's fill and
+    short questions; where the first three choices are these, one of all open questions.
+    """
+    both = holdout.select("row_id").join(objective.select("row_id"), "row_id", "left_semi")
+    if not both.isEmpty():
+        raise ValueError("holdout and objective rows overlap")
+    step = holdout.sparkSession.range(1, steps + 1).select(F.col("id").alias("step"))
+    own = holdout.select("row_id", "kind", F.col("search_turns").alias("minimum_searches"))
+    parts = [_turns(objective.select("row_id", F.lit(0).alias("minimum_searches")), "objective", seed, "row_id", step, F.col("step") - 1).withColumn("slot", F.lit("objective"))]
+    for kind in ("fill", "short"):
+        parts.append(_turns(own.where(F.col("kind") == kind).drop("kind"), kind, seed, "row_id", step, F.col("step") - 1).withColumn("slot", F.lit(kind)))
+    taken = parts[1].unionByName(parts[2]).select("step", "row_id")
+    choice = step.withColumn("o", F.explode(F.array(*map(F.lit, range(3)))))
+    at = F.floor((F.col("step") - 1) / 2) * 3 + F.col("o")
+    two = _turns(own.where("minimum_searches = 2").drop("kind"), "two_search", seed, "row_id", choice.where("step % 2 = 1"), at).withColumn("rank", F.lit(0))
+    open_ = _turns(own.drop("kind"), "open", seed, "row_id", choice, at).withColumn("rank", F.when(F.col("step") % 2 == 1, 1).otherwise(0))
+    free = two.unionByName(open_).join(taken, ["step", "row_id"], "left_anti")
+    bonus = free.groupBy("step").agg(F.min_by(F.struct("row_id", "minimum_searches"), F.struct("rank", "o")).alias("r")).select("step", "r.*")
+    parts.append(bonus.withColumn("slot", F.when(F.col("minimum_searches") == 2, "two_search").otherwise("open")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("step", "slot", "row_id", "minimum_searches")
+
+
+def balanced_curriculum(objective: DataFrame, fill: DataFrame, short: DataFrame, steps: int, prompts: int, seed: int, key: str) -> DataFrame:
+    """curriculum of half objective, a quarter fill and a quarter short questions, no question twice in a step."""
+    if prompts <= 0 or prompts % 4:
+        raise ValueError("prompts of a step must be divisible by four")
+    parts = {"objective": (objective, prompts // 2), "fill": (fill, prompts // 4), "short": (short, prompts // 4)}
+    for name, (rows, n) in parts.items():
+        if rows.select(key).distinct().limit(n).count() < n:
+            raise ValueError(f"not enough {name} questions for a step")
+    return curriculum({name: (rows.dropDuplicates([key]), n) for name, (rows, n) in parts.items()}, steps, seed, key)
+
+
 def review_sample(rows: DataFrame, critical: Column, categories: Column, per_category: int, key: str) -> DataFrame:
     """All critical rows and the first of each category by key, each once."""
     own = rows.where(critical).select(key)

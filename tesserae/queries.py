@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import messages as M
 from tesserae.functions import text as T
-from tesserae.operators import agent, audits, cloze, curation, evaluation, retrieval, sampling, scoring, targets
+from tesserae.operators import agent, audits, cloze, curation, evaluation, retrieval, sampling, scoring, selection, targets
 from tesserae.sources import sheets
 from tesserae.streaming import telemetry
 
@@ -611,3 +611,118 @@ def _(spark, sf):
 
 
 _SQL["telemetry_windows"] = "select time_bucket(interval '5 minutes', ts) \"start\", event_type \"key\", count(*) n, round(avg(value), 6) mean from events group by 1, 2"
+
+
+# ---------------------------------------------------------------- selection
+
+
+@query("selection_status", """with r as (select l_orderkey, l_linenumber, l_discount * 10 d, l_tax * 12.5 p from lineitem),
+s as (select *, case when d >= 1 then 'ready_one_search' when p >= 1 then 'needs_query_rewrite' when d > 0 or p > 0 then 'partial_review' else 'excluded_unsupported' end s from r)
+select l_orderkey, l_linenumber, s selection_status, case s when 'partial_review' then 'secondary' when 'excluded_unsupported' then 'excluded' else 'primary' end dataset_role, cast(case s when 'ready_one_search' then 1 when 'needs_query_rewrite' then 2 end as integer) turns from s""")
+def _(spark, sf):
+    """A line's discount and tax as coverage of the first results and of the pool."""
+    rows = table(spark, sf, "lineitem").withColumn("selection_status", selection.status(F.col("l_discount") * 10, F.col("l_tax") * 12.5))
+    s = F.col("selection_status")
+    return rows.select("l_orderkey", "l_linenumber", s, selection.role(s).alias("dataset_role"), selection.recommended_turns(s).alias("turns"))
+
+
+@query("selection_candidates")
+def _(spark, sf):
+    """Each item as a short question whose answer is the item itself: does the pool of 20 hold it?"""
+    asked = table(spark, sf, "benchmark")
+    rows = asked.select(F.col("item_id").alias("row_id"), F.col("text").alias("query"), F.concat(F.lit("[short] "), F.regexp_replace("text", "[/／]|\\|\\|\\|", " ")).alias("expected_answer"), F.lit("").alias("bank"), F.lit("full").alias("declared_support"))
+    return selection.candidates(_chunk(spark, sf), rows).select("row_id", "pool_coverage")
+
+
+@query("selection_evidence", f"with {_BM25}, e as (select query_id, source, chunk_id, r from ranked where r <= 20 qualify row_number() over (partition by query_id, source order by r) = 1) select query_id, 'E' || lpad(cast(row_number() over (partition by query_id order by r) as varchar), 2, '0') evidence_id, e.source from e join documents d on d.doc_id = e.chunk_id where length(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) >= 24 qualify row_number() over (partition by query_id order by r) <= 14")
+def _(spark, sf):
+    chunk, asked = _chunk(spark, sf), _asked(spark, sf)
+    found = retrieval.search(chunk, asked, top_k=20).join(chunk.select("chunk_id", "heading", "text"), "chunk_id").join(asked, "query_id")
+    return selection.evidence_records(found).select("query_id", "evidence_id", "source")
+
+
+@query("selection_verdicts", """with e as (select event_id i, value v, user_id u, event_type t from events)
+select i event_id, case when i % 11 = 0 then 'invalid_json' when i % 11 = 1 then 'schema_not_object' when i % 11 = 2 then 'schema_fields' when i % 11 = 3 then 'schema_decision' when i % 11 = 4 then 'schema_confidence'
+  when v / 100.0 > 1 or v < 0 then 'schema_confidence' when i % 11 = 5 then 'schema_noise_type' when i % 11 = 6 then 'schema_reason' when (t = 'click') <> (u % 2 = 0 and i % 3 > 0) then 'schema_contradiction' end issue from e""")
+def _(spark, sf):
+    """Verdicts made of event fields: several faults, or decisions that do or don't agree with the flags."""
+    i, kind = F.col("event_id"), F.col("event_id") % 11
+    noise = [f'"{n}": ' + ("%s" if n == "other_noise" else "false") for n in selection.NOISE_FIELDS]
+    form = '{"decision": "%s", "confidence": %s, "complete_natural_statement": %s, "meaningful_answer": true, "noise": {' + ", ".join(noise) + '}, "reason": "%s"%s}'
+    decision = F.when(kind == 3, "maybe").when(F.col("event_type") == "click", "accept").otherwise("reject")
+    confidence = F.when(kind == 4, F.lit("true")).otherwise(F.format_string("%.6f", F.col("value") / 100.0))
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    made = F.format_string(form, decision, confidence, flag(F.col("user_id") % 2 == 0), F.when(kind == 5, "1").otherwise(flag(i % 3 == 0)), F.when(kind == 6, " ").otherwise(F.col("event_type")), F.when(kind == 2, ', "more": 1').otherwise(""))
+    raw = F.when(kind == 0, F.concat(F.lit("so: "), made)).when(kind == 1, F.concat(F.lit("["), made, F.lit("]"))).otherwise(made)
+    return table(spark, sf, "events").where("value is not null").select("event_id", selection.verdict_issue(raw).alias("issue"))
+
+
+_SQL["selection_verdicts"] = _SQL["selection_verdicts"].replace("from events)", "from events where value is not null)")
+
+
+@query("selection_objective_issues", """with p as (select p_partkey k, p_size s, chr(cast(65 + p_size % 6 as integer)) a from part)
+select k p_partkey, case when s % 7 = 0 then 'invalid_expected_answer' else array_to_string(list_filter([case when s % 5 = 0 then 'missing_options' end, case when s % 5 > 0 and s % 6 > 3 then 'answer_out_of_range' end, case when s % 4 = 0 then 'missing_messages' end,
+  case when s % 4 > 0 and k % 3 = 0 then 'invalid_runtime_roles' end, case when s % 4 > 0 and k % 2 = 0 then 'missing_boxed_answer' end, case when s % 4 > 0 and k % 2 = 0 then 'boxed_answer_mismatch' end, case when s % 4 > 0 and k % 5 = 0 then 'official_overlap_not_cleared' end], lambda x: x is not null), ',') end issues from p""")
+def _(spark, sf):
+    """Parts as choices: options A to D, answers A to F, messages with or without a box."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    letter = F.char((F.lit(65) + s % 6).cast("long"))
+    asked = F.when(s % 5 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("\nA. one\n B.  two \nC. three\nD. four")))
+    expected = F.when(s % 7 == 0, "[short] x").otherwise(F.concat(F.lit(" [single]  "), letter))
+    answer = F.when(k % 2 == 0, "nothing").otherwise(F.concat(F.lit("so \\boxed{"), letter, F.lit("}")))
+    first = F.when(k % 3 == 0, "system").otherwise("user")
+    own = F.array(F.struct(first.alias("role"), asked.alias("content")), F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
+    overlap = F.when(k % 10 == 0, F.lit(True)).when(k % 5 != 0, F.lit(False))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(selection.objective_issues(asked, expected, F.when(s % 4 > 0, own), overlap), ",").alias("issues"))
+
+
+@query("selection_gain_summary", "select count(*) \"rows\", count(*) filter (l_linenumber > 1) evaluable, count(*) filter (l_returnflag = 'A') fragile_rows, round(avg(l_discount) filter (l_linenumber > 1), 6) mean_before, round(avg(least(l_quantity, l_linenumber) / l_linenumber) filter (l_linenumber > 1), 6) mean_after, count(*) filter (l_tax > 0.02) robust_incremental, count(*) filter (l_tax > 0.04) raw_incremental, count(*) filter (l_linestatus = 'F') robust_full_gain, count(*) filter (l_linestatus = 'O') raw_full_gain from lineitem")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).otherwise(0).alias("robust_points"), (F.col("l_returnflag") == "A").alias("fragile"), F.col("l_discount").alias("first_coverage"), F.least(F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("robust_hits"),
+        (F.col("l_tax") - 0.02).alias("robust_gain"), (F.col("l_tax") - 0.04).alias("raw_gain"), (F.col("l_linestatus") == "F").alias("robust_full"), (F.col("l_linestatus") == "O").alias("raw_full"),
+    )
+    return selection.gain_summary(rows)
+
+
+_SQL["selection_gain_summary"] = _SQL["selection_gain_summary"].replace("l_tax > 0.02", "l_tax - 0.02 > 0").replace("l_tax > 0.04", "l_tax - 0.04 > 0")
+
+
+@query("selection_objective_share", "select coalesce(round(avg(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1.0::double else 0.0 end) filter (o_orderstatus <> 'F'), 6), 0.0::double) share from orders")
+def _(spark, sf):
+    p = F.col("o_orderpriority")
+    kind = F.when(p == "1-URGENT", "single").when(p == "2-HIGH", "bool").otherwise("fill")
+    return table(spark, sf, "orders").agg(F.round(selection.objective_share(kind, F.when(F.col("o_orderstatus") == "F", "validation").otherwise("train")), 6).alias("share"))
+
+
+@query("selection_flat_parameters", "with p as (select p_partkey, p_brand, p_size, p_type, p_name from part) select p_brand run, 'model.size' \"key\", cast(max_by(p_size, p_partkey) as varchar) \"value\" from p group by p_brand union all select p_brand, 'model.type.name', max_by(p_type, p_partkey) from p group by p_brand union all select p_brand, 'name', max_by(p_name, p_partkey) from p group by p_brand union all select p_brand, 'tags', max_by('[' || p_size || ', null]', p_partkey) from p group by p_brand")
+def _(spark, sf):
+    """Parts as nested parameters of their brands; the last part's count."""
+    params = F.to_json(F.struct(F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_type").alias("name")).alias("type")).alias("model"), F.col("p_name").alias("name"), F.array(F.col("p_size"), F.lit(None).cast("int")).alias("tags")))
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("run"), F.col("p_partkey").alias("at"), params.alias("params"))
+    return selection.last_parameters(rows)
+
+
+@query("text_distinct_values", "with v as (select p_partkey, list_filter([trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ,') for x in [p_name, upper(p_name), ' ' || p_brand || ',', p_type, lower(p_brand)]], lambda x: x <> '') l from part) select p_partkey, array_to_string(list_filter(l, lambda x, i: list_position([regexp_replace(lower(y), '[\\s.,#]+', '', 'g') for y in l], regexp_replace(lower(x), '[\\s.,#]+', '', 'g')) = i), '|') texts from v")
+def _(spark, sf):
+    values = F.array("p_name", F.upper("p_name"), F.concat(F.lit(" "), "p_brand", F.lit(",")), "p_type", F.lower("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(selection.distinct_texts(values), "|").alias("texts"))
+
+
+_SQL["text_distinct_values"] = _SQL["text_distinct_values"].replace("[\\s.,#]+", "[\\s.,]+")
+
+
+@query("text_model_roles", "select p_partkey, case when p_partkey % 4 = 0 then 'embedding,reranker' when p_partkey % 4 = 1 then 'reranker' when p_partkey % 4 = 2 then 'embedding' else 'generative_or_unknown' end roles, cast(case when p_size % 2 = 0 then p_size end as integer) gpu from part")
+def _(spark, sf):
+    k, s = F.col("p_partkey") % 4, F.col("p_size")
+    name = F.when(k == 0, "org/BGE-Reranker").when(k == 1, "x/Cross-Encoder-1").when(k == 2, "jina-v2").otherwise("some/chat")
+    key = F.when(s % 2 == 0, F.concat(F.lit("gpu."), s.cast("string"), F.when(s % 4 == 0, ".memory").otherwise(""))).otherwise(F.concat(F.lit("gpu.x"), s.cast("string")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(selection.model_roles(name), ",").alias("roles"), selection.gpu_index(key).alias("gpu"))
+
+
+@query("sampling_short_curriculum")
+def _(spark, sf):
+    """Customers as open questions, suppliers of negative keys as objective ones."""
+    c = table(spark, sf, "customer")
+    holdout = c.select(F.col("c_custkey").alias("row_id"), F.when(F.col("c_mktsegment") < "F", "fill").otherwise("short").alias("kind"), (F.col("c_nationkey") % 2 + 1).cast("int").alias("search_turns"))
+    return sampling.short_curriculum(holdout, table(spark, sf, "supplier").select((-F.col("s_suppkey") - 1).alias("row_id")), 200)
