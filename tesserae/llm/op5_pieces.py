@@ -2,7 +2,9 @@
 
 An Aho-Corasick automaton over the pieces runs once over the text; at each position its output links give all
 pieces that end there, longest first, and each relaxes the best score of that position (Viterbi in one pass).
-Characters that no piece covers become byte pieces. Scores are those of the model file.
+Characters that no piece covers become byte pieces. Scores are those of the model file; where these are the ranks of
+merges (whole numbers) and no log-probabilities, each piece has that of its rank by the law of Zipf and Mandelbrot, so
+that scores of a path may be added.
 
 No path crosses a place between two characters that follow each other in no piece, so a text is cut there and
 the paths of its parts are joined; parts, words for the most part, are remembered. Where some piece holds the
@@ -11,6 +13,7 @@ space mark after another character, texts aren't cut at spaces first.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import as_bytes, bounded_batches, chunks
 
 SPACE = "▁"
+#: Of ranks, in the law of Zipf and Mandelbrot.
+SHIFT = 100.0
 #: Parts of texts that a Python worker remembers the pieces of, and their longest length.
 REMEMBERED, LONGEST = 300_000, 48
 
@@ -46,7 +51,8 @@ class Pieces:
         self.parts: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str) -> Pieces:
+    def load(cls, path: str, shift: float | None = SHIFT) -> Pieces:
+        """shift: of ranks in -log(rank + shift); None takes ranks as they are, too."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,6 +67,8 @@ class Pieces:
             else:
                 normal[p] = (i, m.get_score(i))
                 texts.append(p.replace(SPACE, " ").encode())
+        if shift is not None and all(s <= 0 and s == int(s) for _, s in normal.values()):
+            normal = {p: (i, -math.log(shift - s)) for p, (i, s) in normal.items()}
         return cls(normal, byte_ids, texts)
 
     def path(self, s: str) -> list[int]:

@@ -1,6 +1,7 @@
 """Odd cases of every operator (empty tables, clashing columns, very long texts, null ids) and stages against brute force."""
 
 import json
+import math
 import zlib
 
 import numpy as np
@@ -66,7 +67,7 @@ def test_pieces_are_best_paths(spark):
 
     path = tokenizers_dir.path(PIECES)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    normal = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    normal = {model.id_to_piece(i): -math.log(100 - model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
     unknown = min(normal.values()) - 10.0
     texts = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").limit(60).collect() if t] + ["日本語 zz\u1234q  two  spaces ", "word " * 3000, "x" * 20_000, "\u2581mark", "a\tb\nc"]
     pieces = op5_pieces.Pieces.load(path)
@@ -79,6 +80,15 @@ def test_pieces_are_best_paths(spark):
         assert pieces.decode(pieces.encode(t)) == t.replace("\u2581", " ")
 
 
+def test_plain_english_is_encoded_as_by_the_library():
+    import sentencepiece
+
+    path = tokenizers_dir.path(PIECES)
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=path), op5_pieces.Pieces.load(path)
+    for word in "the people government international development important questions understanding between different communities which together happened yesterday".split():
+        assert np.frombuffer(pieces.encode(word), np.int32).tolist() == model.encode(word)
+
+
 def test_pieces_of_odd_rows(docs):
     path = tokenizers_dir.path(PIECES)
     got = {r.doc_id: r for r in op5_pieces.round_trip(docs, path).collect()}
