@@ -212,6 +212,20 @@ def _(spark, sf):
     return scoring.score(rows).select("event_id", "reward")
 
 
+@query("scoring_part_rewards", """with p as (select p_partkey, p_partkey % 4 k, p_name, p_type, string_split(p_name, ' ') w, list_distinct(regexp_extract_all(upper(p_name), '[A-Z]')) a, list_distinct(regexp_extract_all(upper(p_type), '[A-Z]')) g from part),
+q as (select *, len(list_intersect(a, g)) tp, list_sort(w) o, regexp_replace(lower(p_type || ' ' || w[1]), '\\s+', '', 'g') b from p)
+select p_partkey, round(case k when 0 then case when list_sort(a) = list_sort(g) then 1.0::double else 0.0 end when 1 then greatest(0.0::double, (tp - 0.5 * (len(a) - tp)) / len(g))
+  when 2 then len(list_filter(w, lambda x, i: x = o[i]))::double / len(w) else len(list_filter(w, lambda x: contains(b || '|ithasboxed' || b, x)))::double / len(w) end, 6) reward from q""")
+def _(spark, sf):
+    """Names of parts against their types as choices, in sorted order as blanks, and as points looked for in a text."""
+    k, words = F.col("p_partkey") % 4, F.split("p_name", " ")
+    listed = F.concat_ws("|||", words)
+    expected = F.when(k == 0, F.concat(F.lit("[single] "), "p_type")).when(k == 1, F.concat(F.lit(" [multiple]  "), "p_type")).when(k == 2, F.concat(F.lit("[fill] "), listed)).otherwise(F.concat(F.lit("[short] "), listed))
+    box = F.when(k < 2, F.col("p_name")).when(k == 2, F.concat_ws("; ", F.array_sort(words))).otherwise(F.concat_ws(" ", "p_type", F.get(words, 0)))
+    rows = table(spark, sf, "part").select("p_partkey", expected.alias("expected_answer"), F.concat(F.lit("it has \\boxed{"), box, F.lit("}")).alias("completion"))
+    return scoring.score(rows).select("p_partkey", F.round("reward", 6).alias("reward"))
+
+
 @query("scoring_multiple_modes", "with l as (select p_partkey, list_distinct(regexp_extract_all(upper(p_brand || p_type), '[A-D]')) p, list_distinct(regexp_extract_all(upper(p_name), '[A-D]')) g from part), c as (select *, len(list_intersect(p, g)) tp from l) select p_partkey, case when len(g) = 0 then 0.0::double else round(greatest(0.0::double, (tp - 0.5 * (len(p) - tp)) / len(g)), 6) end penalty, case when len(p) = 0 and len(g) = 0 then 1.0::double when tp = 0 then 0.0 else round(2.0 * tp / (len(p) + len(g)), 6) end f1, case when tp = len(g) and tp = len(p) then 1.0::double else 0.0 end exact from c")
 def _(spark, sf):
     abcd = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit("[A-D]"), F.lit(0)))
@@ -513,6 +527,16 @@ def _(spark, sf):
     return cloze.candidates(_chunk(spark, sf))
 
 
+@query("cloze_made_candidates", """with c as (select p_partkey k, p_brand source, 'The ' || p_name || ' part of our line is used for a thickness of ' || p_size || ' mm.' sentence, p_size || ' mm' answer from part),
+f as (select sentence, min_by(source, k) source, min(k) k, any_value(answer) answer from c group by sentence), r as (select * from f qualify row_number() over (partition by source order by k) <= 3)
+select source, sentence, replace(sentence, answer, '【1】') masked_sentence, answer, replace(sentence, answer, '待填') model_query from r where length(sentence) between 28 and 220""")
+def _(spark, sf):
+    """Sentences about parts, whose quantities are the answers; brands are sources."""
+    text = F.concat(F.lit("The "), "p_name", F.lit(" part of our line is used for a thickness of "), F.col("p_size").cast("string"), F.lit(" mm."))
+    chunk = table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("source"), F.lit("").alias("heading"), text.alias("text"))
+    return cloze.candidates(chunk).select("source", "sentence", "masked_sentence", "answer", "model_query")
+
+
 @query("cloze_pairs", "with p as (select c_custkey k, c_mktsegment split, c_nationkey source, row_number() over (partition by c_mktsegment order by c_custkey) - 1 i, count(*) over (partition by c_mktsegment) n from customer), o as (select a.split, a.k, b.k other, (b.i - a.i + a.n) % a.n step from p a join p b on a.split = b.split and a.k <> b.k and a.source <> b.source) select split, k \"first\", min_by(other, step) \"second\" from o where step between 1 and 99 group by split, k")
 def _(spark, sf):
     """Customers as candidates of their segments: sources are nations, answers are names, which no text holds. The SQL
