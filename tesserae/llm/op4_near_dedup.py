@@ -233,14 +233,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool
     sets = stored(sketched.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "sets")
 
     lists = _lists(sets)
-    heads = stored(_chosen(lists), "heads")
-    listed = stored(lists.join(heads, "v"), "listed")  # no value that only one set has
+    listed = stored(lists.join(_chosen(lists), "v"), "listed")  # no value that only one set has
     few = stored(sets.join(_crowded(listed, LISTED, ENOUGH), "doc", "left_semi").select("doc", "n", "sketch"), "few")
     deep = _lists(few, SKETCH)
     deep = stored(deep.join(_chosen(deep), "v"), "deep")
     # the member whose whole sketch is most common stands nearest to the text that the others are copies of
     popular = deep.groupBy("doc").agg(F.sum("size").alias("popular"))
-    dense = stored(popular.join(_crowded(deep, DEEP_FIRST, DEEP_ENOUGH), "doc", "left_semi"), "dense")
+    dense = popular.join(_crowded(deep, DEEP_FIRST, DEEP_ENOUGH), "doc", "left_semi")
     long_lists = deep.where((F.col("size") > SHORT) & (F.col("at") < DEEP_FIRST)).select("v", "doc", "n").join(dense, "doc")
     pivots = long_lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("popular", F.xxhash64("doc").alias("h"), "doc", "n")).alias("p")).where("size > 1").select("v", "size", F.col("p.doc").alias("head"), F.col("p.n").alias("head_n"))
     pivoted = stored(long_lists.join(pivots, "v").select("v", "size", "doc", "n", "head", "head_n"), "pivoted")
@@ -265,9 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool
     mixed = placed(short)
     many = mixed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
     rest = stored(mixed.join(many, "v", "left_semi").select("v", "doc", "n", "component"), "rest")
-    *listed_by, raw = _deviations(compared)
-    apart, near = (stored(placed(x), "deviations") for x in listed_by)
-    discard(scan.spark, *raw)
+    apart, near, raw = _deviations(compared)
+    apart, near = stored(placed(apart), "deviations"), placed(near)
     # the first common element leaves 1 + least(mx - rankx, my - ranky) common ones at most; links need so many:
     enough = f"2 * (1 + least(mx - rankx, my - ranky)) * {100 + percent} >= (mx + my) * {100 + percent} - {100 - percent} * (nx + ny)"
     prefix = apart.where("rank <= half")
@@ -275,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, by_row: bool
     more = _compared(scan, _estimated(second.withColumn("pivot", F.lit(False)), sets, percent), sketched, k, percent)
     found = components(links.unionByName(more.select("x", "y")))
 
-    discard(scan.spark, heads, listed, few, deep, dense, pivoted, compared, more, known, rest, apart, near)
+    discard(scan.spark, listed, few, deep, pivoted, compared, more, known, rest, apart, *raw)
 
     of_set = sets.select("n", "a", "b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
     bare = sketched.drop("sketch")  # rows of a hot set are many, but each meets one row; texts without words meet none
