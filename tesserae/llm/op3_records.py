@@ -18,11 +18,12 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ from tesserae.llm.common import chunks, file_system, work_dir
 REMEMBERED = 1_600_000
 #: A run of letters and a run of these marks are never joined by the byte-level BPE; the words are known apart.
 _MARKED = re.compile(r"([^\W\d_]+)([,.;:!?%&$*#]+)")
+#: The space as byte-level vocabularies write it.
+_SPACE = "\u0120"
+#: New words encoded in one text, and words whose ids are put together at once.
+_TOGETHER, _GATHERED = 200, 1 << 20
 _INDEX = "<qqq"
 
 
@@ -59,12 +64,45 @@ def unframe(stream) -> bytes | None:
     return body[:-4]
 
 
+class Known:
+    """Ids of strings, end to end in one array: a string has a slot, a slot a start and a length."""
+
+    def __init__(self, dtype):
+        self.slots: dict[str, int] = {}
+        self.ids, self.at, self.n = np.zeros(1 << 16, dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.count = 0
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> range:
+        """Keeps ids of len(n) strings; their slots."""
+        used, count = self.used + len(ids), self.count + len(n)
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * used - self.used, self.ids.dtype)])
+        if count > len(self.at):
+            more = np.zeros(2 * count - self.count, np.int64)
+            self.at, self.n = np.concatenate([self.at[: self.count], more]), np.concatenate([self.n[: self.count], more])
+        self.ids[self.used : used] = ids
+        self.at[self.count : count] = self.used + np.cumsum(n) - n
+        self.n[self.count : count] = n
+        slots = range(self.count, count)
+        self.used, self.count = used, count
+        return slots
+
+    def of(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of slots, end to end."""
+        n = self.n[slots]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.at[slots] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, remembering the ids of words.
 
     A byte-level BPE never joins what a single space parts: a token may begin with one space, and longer
     white space is left whole here. So a text is cut before single spaces between other characters, and the
     pieces are encoded once each. A tokenizer of another kind must be encoded with whole=True.
+
+    Arrow cuts the texts and finds their distinct words; only these are looked up one by one. New words are
+    encoded many in one text, where a word begins at each token that begins with the space.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -72,14 +110,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        #: words to the ids of a space and the word; None for words that don't stand free (empty, white space at an end)
-        self.known: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {}
+        self.dtype = np.dtype(f"<u{self.width}")
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        #: ids of a space and a word; slot -1 for words that don't stand free (empty, white space at an end)
+        self.known = Known(self.dtype)
+        #: slots of marks alone, in the same array
+        self.marks: dict[str, int] = {}
+
+    def _arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [a.tobytes() for a in self._arrays(texts)]
 
     @staticmethod
     def pieces(parts: list[str]) -> list[str]:
@@ -93,35 +141,68 @@ class Encoder:
                 out[-1] = f"{last} {p}"
         return out
 
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, end to end, of free words with a space before each, and their numbers."""
+        ids, n = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        for group, found in zip(groups, self._arrays([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[found])
+            if len(starts) == len(group) and starts[0] == 0:
+                ids.append(found)
+                n.append(np.diff(starts, append=len(found)))
+            else:  # a token that takes the space away
+                single = self._arrays([" " + w for w in group])
+                ids += single
+                n.append(np.array([len(a) for a in single], np.int64))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _learn(self, words: list[str]) -> None:
+        known, slots = self.known, self.known.slots
+        marked = [m for m in map(_MARKED.fullmatch, words) if m]
+        plain = set(words).difference([m[0] for m in marked]).union([m[1] for m in marked]).difference(slots)
+        free = [w for w in plain if w and not w[0].isspace() and not w[-1].isspace()]
+        slots.update(dict.fromkeys(plain, -1))
+        slots.update(zip(free, known.add(*self._spaced(free)), strict=True))
+        if marks := list({m[2] for m in marked}.difference(self.marks)):
+            ids = self._arrays(marks)
+            self.marks.update(zip(marks, known.add(np.concatenate(ids), np.array([len(a) for a in ids], np.int64)), strict=True))
+        if marked:
+            pairs = np.array([(slots[m[1]], self.marks[m[2]]) for m in marked], np.int64)
+            slots.update(zip([m[0] for m in marked], known.add(known.of(pairs.ravel()), known.n[pairs].sum(1)), strict=True))
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        slots = self.known.slots
+        out = np.fromiter(map(slots.get, words, repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(out == -2)
+        if len(new):
+            fresh = [words[i] for i in new]
+            self._learn(fresh)
+            out[new] = np.fromiter(map(slots.__getitem__, fresh), np.int64, len(fresh))
+            for w in [w for w in fresh if len(w) > 64]:
+                slots.pop(w, None)
+                if m := _MARKED.fullmatch(w):
+                    slots.pop(m[1], None)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
+        if self.whole or not texts:
             return self._packed(texts)
-        cut = [t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = set().union(*cut).difference(known)
-        marked = [m for m in map(_MARKED.fullmatch, new) if m]
-        plain = new.difference([m[0] for m in marked]).union([m[1] for m in marked]).difference(known)
-        free = [w for w in plain if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(plain))
-        known.update(zip(free, self._packed([" " + w for w in free]), strict=True))
-        marks = list({m[2] for m in marked}.difference(self.marks))
-        if len(self.marks) > REMEMBERED // 10:
-            self.marks.clear()
-            marks = list({m[2] for m in marked})
-        self.marks.update(zip(marks, self._packed(marks), strict=True))
-        known.update([(m[0], known[m[1]] + self.marks[m[2]]) for m in marked])
-        heads = self._packed([c[0] for c in cut])
+        if len(self.known.slots) > REMEMBERED or self.known.used > 8 * REMEMBERED:
+            self._forget()
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, bounds = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = self._slots(distinct)[words.indices.to_numpy()]
+        first, end = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+        heads = self._packed([distinct[i] for i in words.indices.to_numpy()[first]])
+        bad = np.concatenate([[0], np.cumsum(slots < 0)])
+        odd = (end - first > 1) & (bad[end] > bad[first])
         out = []
-        for c, head in zip(cut, heads, strict=True):
-            ids = [known[w] for w in c[1:]]
-            if (None in ids) or (len(c) > 1 and known[c[0]] is None):
-                out.append(b"".join(self._packed(self.pieces(c))))
+        for head, a, b, whole, text in zip(heads, (first + 1).tolist(), end.tolist(), odd.tolist(), texts, strict=True):
+            if whole:
+                out.append(b"".join(self._packed(self.pieces(text.split(" ")))))
             else:
-                out.append(head + b"".join(ids))
-        for w in [w for w in (*new, *plain) if len(w) > 64]:
-            known.pop(w, None)
+                out.append(b"".join([head, *(self.known.of(slots[i : min(b, i + _GATHERED)]).tobytes() for i in range(a, b, _GATHERED))]))
         return out
 
 

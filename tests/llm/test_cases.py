@@ -96,6 +96,17 @@ def test_pieces_of_odd_rows(docs):
     assert op5_pieces.round_trip(docs.limit(0), path).collect() == []
 
 
+def test_encoder_is_that_of_whole_texts():
+    """Every pair of odd texts, first with unknown words, then with known ones, then after a reset."""
+    encoder = op3_records.Encoder(tokenizers_dir.path(BYTES))
+    odd = ["", "  ", " a", "a ", "a  b", "\n", "x", "a\n\nb c", "<|endoftext|> a b <|endoftext|>", "é, ü. 日本 語!! x y z", "a" * 100 + ", b " + "q" * 70, "it's don't 's 't", "a \tb", " ".join(["w,"] * 450), "x 1, 2. a1, _b, c_."]
+    odd += [x + " " + y for x in odd for y in odd]
+    want = encoder._packed(odd)
+    assert encoder.encode(odd) == want and encoder.encode(odd[::-1]) == want[::-1]
+    encoder._forget()
+    assert encoder.encode(odd) == want and encoder.encode([]) == []
+
+
 def test_records_of_odd_rows(docs):
     path = tokenizers_dir.path(BYTES)
     from tokenizers import Tokenizer
