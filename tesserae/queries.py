@@ -101,18 +101,9 @@ def _(spark, sf):
     return retrieval.category_counts(_chunk(spark, sf))
 
 
-@query("retrieval_dense_top5", "with q as (select label, min(vec_id) vec_id from embeddings group by label), v as (select vec_id, [cast(x as double) / sqrt(list_inner_product([cast(y as double) for y in embedding], [cast(y as double) for y in embedding])) for x in embedding] e from embeddings), s as (select q.label, v.vec_id, round(list_inner_product(v.e, w.e), 6) score from q join v w on w.vec_id = q.vec_id join v on v.vec_id <> q.vec_id) select label, vec_id, score, cast(row_number() over (partition by label order by score desc, vec_id) as integer) rnk from s qualify row_number() over (partition by label order by score desc, vec_id) <= 5")
+@query("retrieval_dense_top5", "with v as (select vec_id, [cast(x as double) / sqrt(list_inner_product([cast(y as double) for y in embedding], [cast(y as double) for y in embedding])) for x in embedding] e from embeddings), s as (select w.vec_id query_id, v.vec_id, round(list_inner_product(v.e, w.e), 6) score from v join v w on v.vec_id <> w.vec_id where w.vec_id % 50 = 0) select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rnk from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5")
 def _(spark, sf):
-    """One query vector for each label: a label set is bounded, and Spark broadcasts it by its own size check."""
-    v = table(spark, sf, "embeddings").select("vec_id", "label", retrieval.normalised(F.col("embedding")).alias("e"))
-    q = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("q"), F.min("vec_id").alias("own"))
-    s = v.drop("label").join(q, F.col("vec_id") != F.col("own")).select("label", "vec_id", F.round(retrieval.dot(F.col("e"), F.col("q")), 6).alias("score"))
-    return s.withColumn("rnk", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("rnk <= 5")
-
-
-@query("retrieval_dense_every50_top5", "with v as (select vec_id, [cast(x as double) / sqrt(list_inner_product([cast(y as double) for y in embedding], [cast(y as double) for y in embedding])) for x in embedding] e from embeddings), s as (select w.vec_id query_id, v.vec_id, round(list_inner_product(v.e, w.e), 6) score from v join v w on v.vec_id <> w.vec_id where w.vec_id % 50 = 0) select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rnk from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5")
-def _(spark, sf):
-    """Every row whose id is divisible by 50 as a query, against all rows; retrieval_dense_top5 asks once for each label."""
+    """Every row whose id is divisible by 50 as a query, against all rows."""
     return retrieval.nearest(table(spark, sf, "embeddings"))
 
 
@@ -370,10 +361,10 @@ def _(spark, sf):
     return sampling.weighted_order(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 1000, "s_suppkey").select("s_suppkey", "draw")
 
 
-@query("sampling_curriculum", "with r as (select c_mktsegment pool, c_custkey k, row_number() over (partition by c_mktsegment order by sha256('3:' || c_mktsegment || ':' || c_custkey)) p, count(*) over (partition by c_mktsegment) n from customer), s as (select i, i // 2 + 1 step, cast(i % 2 as integer) slot from range(0, 200) t(i)) select step, slot, pool, k \"key\" from s join r on r.p = s.i % r.n + 1 where pool in ('BUILDING', 'MACHINERY')")
+@query("sampling_curriculum", "with r as (select c_mktsegment pool, c_custkey k, row_number() over (partition by c_mktsegment order by sha256('3:' || c_mktsegment || ':' || c_custkey)) p, count(*) over (partition by c_mktsegment) n from customer), s as (select i, i // 2 + 1 step, cast(i % 2 as integer) slot from range(0, 200) t(i)) select step, slot, pool, k \"key\" from s join r on r.p = s.i % r.n + 1")
 def _(spark, sf):
     c = table(spark, sf, "customer")
-    pools = {s: (c.where(F.col("c_mktsegment") == s), 2) for s in ("BUILDING", "MACHINERY")}
+    pools = {s: (c.where(F.col("c_mktsegment") == s), 2) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
     return sampling.curriculum(pools, 100, 3, "c_custkey")
 
 
@@ -507,11 +498,11 @@ def _(spark, sf):
     return targets.validated(asked, rows, evidence).select("target_id", "reason", F.size("points").alias("n"))
 
 
-@query("targets_bound", "select doc_id target_id, cast(2 - (doc_id % 2) as integer) \"index\", cast(case when doc_id % 2 = 0 and coalesce(trim(text), '') <> '' then 1 else 0 end as bigint) supports from documents")
+@query("targets_bound", "select doc_id target_id, cast(2 - (doc_id % 2) as integer) \"index\", cast(case when doc_id % 2 = 0 and coalesce(text, '') <> '' then 1 else 0 end as bigint) supports from documents")
 def _(spark, sf):
-    """A document's first 40 characters as a quote, shown by the document itself in trusted (even ids) or untrusted results."""
+    """A document's whole text as a quote, shown by the document itself in trusted (even ids) or untrusted results."""
     docs = table(spark, sf, "documents")
-    points = docs.select(F.col("doc_id").alias("target_id"), (2 - F.col("doc_id") % 2).cast("int").alias("index"), F.substring("text", 1, 40).alias("quote"))
+    points = docs.select(F.col("doc_id").alias("target_id"), (2 - F.col("doc_id") % 2).cast("int").alias("index"), F.col("text").alias("quote"))
     grade = F.when(F.col("doc_id") % 2 == 0, "reference").otherwise("noise")
     results = docs.select(F.col("doc_id").alias("target_id"), F.lit(1).alias("hop"), F.col("text").alias("observation"), F.lit(1).alias("rank"), "source", F.lit("").alias("heading"), grade.alias("quality_category"), "text")
     return targets.bound(points, results).select("target_id", "index", F.size("visible_supports").cast("long").alias("supports"))
@@ -546,15 +537,14 @@ def _(spark, sf):
     return cloze.pairs(rows)
 
 
-@query("messages_observations", f"with {_BM25} select query_id, left('[检索结果]' || chr(10) || chr(10) || string_agg(r || '. 来源：' || source || chr(10) || '相关度：' || printf('%.2f', score) || chr(10) || left(text, 400), chr(10) || chr(10) order by r), 900) observation from ranked where r <= 4 group by query_id")
-def _(spark, sf):
-    found = retrieval.search(_chunk(spark, sf), _asked(spark, sf)).join(_chunk(spark, sf).select("chunk_id", "heading", "text"), "chunk_id")
-    return M.observations(found.select("query_id", "rank", "source", "heading", "raw_score", F.substring("text", 1, 400).alias("snippet")), 900).select("query_id", "observation")
-
-
-@query("messages_query_observations")
+@query("messages_observations", f"""with {_BM25}, q as (select item_id query_id, list_distinct({_TOKENS.format(x="text")}) terms from benchmark),
+f as (select query_id, r, source, score, terms, trim(regexp_replace(text, '\\s+', ' ', 'g')) flat from ranked join q using (query_id) where r <= 4),
+p as (select *, length(flat) n, coalesce(list_min(list_filter([instr(lower(flat), t) - 1 for t in terms], lambda x: x >= 0)), 0) p from f),
+e as (select *, least(n, greatest(0, p - 173) + 520) e from p), s as (select *, greatest(0, e - 520) s from e),
+cut as (select query_id, r, source, score, case when n <= 520 then flat else case when s > 0 then '…' else '' end || trim(substr(flat, s + 1, 520)) || case when e < n then '…' else '' end end snippet from s)
+select query_id, left('[检索结果]' || chr(10) || chr(10) || string_agg(r || '. 来源：' || source || chr(10) || '相关度：' || printf('%.2f', score) || chr(10) || snippet, chr(10) || chr(10) order by r), 1800) observation from cut group by query_id""")
 def _(spark, sf):
-    """Results by their passages about the query, as agent.step shows them; messages_observations shows the first 400 characters."""
+    """Results by their passages about the query, as agent.step shows them."""
     return agent.observed(_chunk(spark, sf), _asked(spark, sf))
 
 
@@ -594,7 +584,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Every item in one of six states: a search, an answer, no action, a third search, too early an answer, a second bad action."""
     k = F.col("item_id") % 6
-    response = F.when(k.isin(0, 3), F.concat(F.lit("<search>"), F.substring("text", 1, 60), F.lit("</search>"))).when(k.isin(1, 4), "\\boxed{B}").otherwise("nothing")
+    response = F.when(k.isin(0, 3), F.concat(F.lit("<search>"), "text", F.lit("</search>"))).when(k.isin(1, 4), "\\boxed{B}").otherwise("nothing")
     empty = F.array().cast("array<string>")
     turns = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("row_id"), F.col("text").alias("query"), F.lit("[single] B").alias("expected_answer"), F.lit("").alias("bank"), F.when(k == 3, 2).when(k == 5, 1).otherwise(0).alias("search_count"),
