@@ -6,25 +6,31 @@ the n-grams with its bit are counted, the count is corrected for the filter's kn
 and the greatest share decides. n-grams are four bytes of small letters with single spaces between words.
 
 A language's filter holds all n-grams that are about as frequent there as in any other language at least; they are
-counted on `sample` documents of each language at most, chosen by hash of their id. The filter's size follows the
-number of n-grams.
+counted on all documents that may teach. The filter's size follows the number of n-grams, which nears that of the
+four-byte pieces of a language's words and doesn't grow with the documents for ever.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import as_bytes, bounded_batches, discard, stored
+from tesserae.llm.common import CHUNK_BYTES, as_bytes, bounded_batches, discard, stored
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 PROBES = 3
 PLANE = 64
+#: n-grams of all languages that a counting task holds before it passes their counts on, and those in one batch of counts.
+HELD, PASSED = 1 << 21, 1 << 16
+#: The bits of a double from 0 to 1, as a number, and how many of them one look at all scores settles.
+SCORE_BITS, STEP = 62, 10
 
 
 def plain(text: bytes) -> bytes:
@@ -109,37 +115,54 @@ def _sampled(rows: DataFrame, sample: int) -> set[int]:
     return {r["doc_id"] for r in picked.select("doc_id").collect()}  # sample * languages at most
 
 
-def train(docs: DataFrame, sample: int = 2000, bits: int | None = None) -> Model:
-    """A model of the non-null languages of docs, from documents with crc32(doc_id) mod 3 other than 1.
+def train(docs: DataFrame, sample: int | None = None, bits: int | None = None) -> Model:
+    """A model of the non-null languages of docs, from all documents with crc32(doc_id) mod 3 other than 1.
 
-    Bound: `sample` documents of each language. Rows with a null doc_id, lang or text teach nothing.
+    Only if the caller names a `sample` are so many documents of each language read at most, chosen by hash of their
+    id. Rows with a null doc_id, lang or text teach nothing.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
-    ids = spark.sparkContext.broadcast(_sampled(rows, sample))
+    ids = None if sample is None else spark.sparkContext.broadcast(_sampled(rows, sample))
+
+    def passed(found):
+        for lang, (g, c) in found.items():
+            for a in range(0, len(g), PASSED):
+                part = g[a : a + PASSED]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(c[a : a + PASSED].astype(np.int64))], ["lang", "g", "c"])
+
+    def add(found, pending):
+        for lang, parts in pending.items():
+            g, c = np.unique(np.concatenate(parts), return_counts=True)
+            if lang in found:
+                g, at = np.unique(np.concatenate([found[lang][0], g]), return_inverse=True)
+                c = np.bincount(at, np.concatenate([found[lang][1], c])).astype(np.int64)
+            found[lang] = g, c
 
     def count(batches):
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        pending: dict[str, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            pending: dict[str, list[np.ndarray]] = {}
             for i, lang, t in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                if t and i in ids.value:
+                if t and (ids is None or i in ids.value):
                     pending.setdefault(lang, []).append(codes(plain(t)))
-            for lang, parts in pending.items():
-                g, c = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in found:
-                    g, at = np.unique(np.concatenate([found[lang][0], g]), return_inverse=True)
-                    c = np.bincount(at, np.concatenate([found[lang][1], c])).astype(np.int64)
-                found[lang] = g, c
-        for lang, (g, c) in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["lang", "g", "c"])
+                    size += len(t)
+                if size >= CHUNK_BYTES:
+                    add(found, pending)
+                    pending, size = {}, 0
+                    if sum(len(g) for g, _ in found.values()) > HELD:
+                        yield from passed(found)
+                        found = {}
+        add(found, pending)
+        yield from passed(found)
 
     counted = rows.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     counted = stored(counted, "ngrams")
     totals = counted.groupBy("lang").agg(F.sum("c").alias("total"))  # one row a language
     rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("c") / F.col("total")).withColumn("most", F.max("rate").over(Window.partitionBy("g")))
-    chosen = rated.where("c > 1 and rate >= 0.25 * most").select("lang", "g").toArrow()  # of `sample` documents a language at most
+    chosen = rated.where("c > 1 and rate >= 0.25 * most").select("lang", "g").toArrow()  # the model's own n-grams
     discard(spark, counted)
     names, grams = chosen.column("lang").to_pandas(), chosen.column("g").to_numpy()
     found = {k: np.sort(grams[at]).astype(np.uint32) for k, at in names.groupby(names).indices.items()}
@@ -164,26 +187,59 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def least_scores(docs: DataFrame, model: Model, sample: int = 2000, below: float = 0.001, slack: float = 0.9) -> dict[str, float]:
+def least_scores(docs: DataFrame, model: Model, below: float = 0.001, slack: float = 0.9) -> dict[str, float]:
     """For each language the least score that its texts should have.
 
     It is `slack` times what all but the share `below` of held-out documents (crc32(doc_id) mod 3 of 1) of the language
-    have, of those that are recognised and `sample` at most, chosen by hash of their id. No margin over the second
-    language is asked: a text that mixes learned languages is not in an unlearned one.
+    have, of all that are recognised. No margin over the second language is asked: a text that mixes learned languages
+    is not in an unlearned one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
-    ids = docs.sparkSession.sparkContext.broadcast(_sampled(rows, sample))
 
     def run(batches):
         for batch in batches:
-            names = batch.column("lang").to_pylist()
-            found = [(n, *shared.value.ranked(t)) for i, n, t in zip(batch.column("doc_id").to_pylist(), names, as_bytes(batch.column("text")), strict=True) if i in ids.value]
+            found = [(n, *shared.value.ranked(t)) for n, t in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True)]
             found = [(n, score) for n, lang, score, _ in found if lang == n]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
-
-    scored = rows.mapInArrow(run, "lang string, score double").groupBy("lang").agg((slack * F.percentile_approx("score", below, 10_000)).alias("least"))
-    return {r["lang"]: r["least"] for r in scored.collect()}  # one row a language
+            bits = np.array([f[1] for f in found], np.float64).view(np.int64)  # in the order of the scores, as none is negative
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array(bits)], ["lang", "bits"])
+
+    scored = stored(rows.mapInArrow(run, "lang string, bits long"), "scores")
+    found = _quantiles(scored, below)
+    discard(spark, scored)
+    return {lang: slack * float(np.int64(b).view(np.float64)) for lang, b in found.items()}
+
+
+def _quantiles(scored: DataFrame, below: float) -> dict[str, int]:
+    """For each lang of scored (lang, bits of a double from 0 to 1) the exact value of rank ceil(below * rows), 1 at least.
+
+    Each look counts rows by the next `STEP` bits, so no task and no result holds more than 2 ** STEP counts of a
+    language, however many rows it has. There are seven looks at most, at a table of two narrow columns."""
+    found, part, shift = {}, scored, SCORE_BITS
+    ranks: dict[str, int] = {}
+    while True:
+        shift = max(0, shift - STEP)
+        bins: dict[str, list] = {}
+        for r in part.groupBy("lang", F.shiftright("bits", shift).alias("first")).agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("least"), F.max("bits").alias("most")).collect():
+            bins.setdefault(r["lang"], []).append((r["first"], r["n"], r["least"], r["most"]))
+        unsettled = []
+        for lang, counts in bins.items():
+            rank = ranks.get(lang) or max(1, math.ceil(Fraction(str(below)) * sum(c[1] for c in counts)))
+            for first, n, least, most in sorted(counts):
+                if rank <= n:
+                    break
+                rank -= n
+            ranks[lang] = rank
+            if rank in (1, n) or least == most:
+                found[lang] = least if rank == 1 else most
+            else:
+                unsettled.append((lang, first))
+        if not unsettled:
+            return found
+        wanted = scored.sparkSession.createDataFrame(unsettled, "lang string, first long")
+        part = scored.join(F.broadcast(wanted), "lang").where(F.shiftright("bits", shift) == F.col("first")).select("lang", "bits")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.1, own: dict[str, float] | None = None) -> DataFrame:

@@ -1,5 +1,9 @@
 """Corpus operators do the whole job: inputs that an earlier, narrower version lost."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from tesserae.llm import op1_licences, op4_near_dedup, op8_language
@@ -58,3 +62,61 @@ def test_language_stage_rejects_languages_not_learned(spark, tmp_path):
     got = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(strange), "/root/testdata/sf0.01").select("doc_id").collect()]
     assert min(got) >= 0 and len(got) >= 0.998 * docs.count()
     assert {r.doc_id for r in op8_language.keep_known(strange, op8_language.train(docs)).collect()} == {-1, -2}
+
+
+def language_rows():
+    """9000 documents of two languages, each with words of its own and more or less of what its language never repeats."""
+    r, rows = np.random.default_rng(3), []
+    for i in range(9000):
+        lang, letters = ("aa", "abcdefghij") if i % 9 else ("bb", "klmnopqrst")
+        usual = [letters[j : j + 4] for j in range(6)]
+        noise = ["".join("abcdefghijklmnopqrstuvwxyz"[c] for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(r.integers(0, 30))]
+        rows.append((i, " ".join(usual[c] for c in r.integers(0, 6, r.integers(8, 40))) + " " + " ".join(noise), lang))
+    return rows
+
+
+def test_language_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(op8_language, "CHUNK_BYTES", 10_000)
+    monkeypatch.setattr(op8_language, "HELD", 1000)
+    monkeypatch.setattr(op8_language, "PASSED", 300)
+    rows, counts = language_rows(), {"aa": Counter(), "bb": Counter()}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(op8_language.codes(op8_language.plain(text.encode())).tolist())
+    totals = {lang: found.total() for lang, found in counts.items()}
+    rates = {lang: {g: c / totals[lang] for g, c in found.items()} for lang, found in counts.items()}
+    most = {g: max(found.get(g, 0) for found in rates.values()) for found in rates.values() for g in found}
+    features = {lang: np.array([g for g, c in found.items() if c > 1 and rates[lang][g] >= 0.25 * most[g]], np.uint32) for lang, found in counts.items()}
+    want, got = op8_language.Model.build(features), op8_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got.languages == want.languages and got.bits == want.bits and (got.planes[0] == want.planes[0]).all()
+
+
+def test_language_stage_asks_what_all_held_out_documents_have(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = language_rows()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = op8_language.train(docs)
+    ranked, scores = {i: model.ranked(text.encode()) for i, text, _ in rows}, {"aa": [], "bb": []}
+    for i, _, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 == 1 and ranked[i][0] == lang:
+            scores[lang].append(ranked[i][1])
+    assert len(scores["aa"]) > 2000
+    for below in (0.001, 0.01):
+        want = {lang: 0.9 * sorted(found)[math.ceil(round(below * len(found), 6)) - 1] for lang, found in scores.items()}
+        assert op8_language.least_scores(docs, model, below=below) == want
+    own = op8_language.least_scores(docs, model)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {i for i, (lang, score, n) in ranked.items() if score >= max(0.1, own[lang] - n**-0.5)}
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(4)
+    near = 0.5 + r.integers(0, 900, 4000) * 2.0**-52  # apart in their last bits only
+    scores = {"a": near, "b": r.random(3000), "c": np.repeat([0.0, 0.25, 1.0], 50), "d": np.array([0.7])}
+    df = spark.createDataFrame([(lang, int(b)) for lang, found in scores.items() for b in found.view(np.int64)], "lang string, bits long")
+    for below in (0.001, 0.3, 0.57, 1.0):
+        want = {lang: int(np.sort(found)[max(1, math.ceil(round(below * len(found), 6))) - 1].view(np.int64)) for lang, found in scores.items()}
+        assert op8_language._quantiles(df, below) == want
+    assert op8_language._quantiles(df.limit(0), 0.001) == {}
