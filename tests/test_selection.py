@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,50 @@ def test_log_text_keeps_line_ends(spark):
     now = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
     df = spark.createDataFrame([("a\n\nb\r\nc",), ("",)], "t string")
     assert [r.t for r in df.select(T.clean_log_text(F.col("t"), now).alias("t")).collect()] == ["2024-01-02 03:04:05 a\n\n2024-01-02 03:04:05 b\r\n2024-01-02 03:04:05 c", ""]
+
+
+def test_terms_of_a_batch_are_those_of_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(T, "STEP", 400)
+    r = random.Random(3)
+    letters = ["a", "b", "Z", "9", "é", "K", "İ", "晶", "圆", "所有", "あ", " ", "\n", "-", "/", ".", "#", "answer", "please", " "]
+    texts = ["".join(r.choices(letters, k=r.randrange(30))) for _ in range(400)] + ["", None, "-", "a-", "-a", "a", "question", "a.b"]
+    want = [Counter(x.t) for x in spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", T.tokens(F.col("s")).alias("t")).orderBy("i").collect()]
+    got = [Counter() for _ in texts]
+    for at, _, words, row in T.terms_of(pa.array(["x", *texts]).slice(1)):
+        for word, i in zip(words.to_pylist(), row.tolist(), strict=True):
+            got[at + i][word] += 1
+    assert got == want
+
+
+def test_a_table_of_chunks_is_searched_without_a_shuffle_of_terms_or_texts(spark, tmp_path, monkeypatch):
+    """Copies that tie, sources left out, several slices of queries and blocks of chunks: as by the stored index."""
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    monkeypatch.setattr(retrieval, "CELLS", 20)
+    r = random.Random(8)
+    draw = lambda n: " ".join(r.choices([f"w{i}" for i in range(15)], k=n))
+    texts = [draw(r.randrange(1, 9)) for _ in range(30)]
+    rows = [(i, f"s{i % 7}" if i % 11 else None, "", texts[i % 30]) for i in range(150)]
+    chunk = spark.createDataFrame(rows, "chunk_id long, source string, heading string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", draw(4)) for i in range(8)], "query_id string, query string")
+    gone = spark.createDataFrame([("q1", "s3"), ("q1", "s4"), ("q5", "s0"), ("q9", "s1")], "query_id string, source string")
+    index = Index.build(chunk, str(tmp_path / "index"))
+    found = retrieval.search(chunk, asked, top_k=5, excluded=gone, fields=("text",))
+    columns = ["query_id", "rank", "chunk_id", "source", "score", "text"]
+    got = sorted(map(tuple, found.select(columns).collect()), key=str)
+    assert got == sorted(map(tuple, retrieval.search(index, asked, top_k=5, excluded=gone, fields=("text",)).select(columns).collect()), key=str) and len(got) == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan and "strategy=broadcast" in plan
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    rows = [(1, "S1", "", "b a b"), (2, "S1", None, "晶圆 b b-c"), (3, None, "", None), (4, "", "", "answer x1 x1")]
+    chunk = spark.createDataFrame(rows, "chunk_id long, source string, heading string, text string").repartition(2)
+    by_row = chunk.select("chunk_id", F.explode(T.tokens(F.concat_ws("\n", "source", "source", "heading", "heading", "text"))).alias("term"))
+    want = Counter((x.chunk_id, x.term) for x in by_row.collect())
+    made = retrieval.postings(chunk)
+    got = made.collect()
+    assert {(x.chunk_id, x.term): x.tf for x in got} == dict(want) and len(got) == len(want)
+    assert {x.chunk_id: x.len for x in got} == {i: sum(n for (j, _), n in want.items() if j == i) for i in (1, 2, 4)}
+    terms = {t for _, t in want}
+    assert {(x.term, x.df, x.cf) for x in retrieval.term_counts(chunk).collect()} == {(t, sum(u == t for _, u in want), sum(n for (_, u), n in want.items() if u == t)) for t in terms}
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
