@@ -54,12 +54,11 @@ def candidates(chunk: DataFrame | retrieval.Index, rows: DataFrame, first: int =
     first results show and by the pool, status, role, searches, both sets of hits, the shown text and all result records.
 
     One search serves all rows. A row without a result is covered by nothing."""
-    index = retrieval.index_of(chunk)
     context = F.substring(T.question_context(F.col("query")), 1, 256)
     asked = rows.select("row_id", "query", "expected_answer", "bank", "declared_support", context.alias("first_search_query"), T.keypoints(F.col("expected_answer")).alias("keypoints"), T.gold_type(F.col("expected_answer")).alias("question_type")).where(F.size("keypoints") > 0)
     asked = asked.withColumn("retrieval_query", T.retrieval_query(F.col("first_search_query"), F.col("query"), F.col("bank")))
     queries = asked.select(F.col("row_id").alias("query_id"), F.col("retrieval_query").alias("query"))
-    found = retrieval.search(index, queries, top_k=pool, candidate_k=depth, quality_rerank=True).join(index.chunks.select("chunk_id", "heading", "text"), "chunk_id").join(asked.select(F.col("row_id").alias("query_id"), "keypoints", "retrieval_query"), "query_id")
+    found = retrieval.search(chunk, queries, top_k=pool, candidate_k=depth, quality_rerank=True, fields=("heading", "text")).join(asked.select(F.col("row_id").alias("query_id"), "keypoints", "retrieval_query"), "query_id")
     trusted = F.col("quality_category").isin(*retrieval.TRUSTED)
     hits = F.when(trusted, T.keypoint_hits(T.answer_free(F.col("text")), F.col("keypoints"))).otherwise(F.array().cast("array<int>"))
     found = found.withColumn("keypoint_hits", hits)
