@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -41,6 +41,11 @@ ANSWER_PUNCTUATION = r"[，,。．\.、；;：:！!？\?\"'`（）()【】\[\]/
 _WORD, _IDEOGRAPHS = re.compile(WORD), re.compile("[\u3400-\u4dbf\u4e00-\u9fff]+")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once for a row however often body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def stripped(c: Column | str) -> Column:
     """Without white space of any kind at both ends. (As a function of one argument it is safe in F.transform,
     which hands a second one the index.)"""
@@ -149,14 +154,17 @@ def retrieval_query(model: Column, original: Column, bank: Column) -> Column:
 
 def snippet(text: Column, query: Column, limit: int) -> Column:
     """A passage of at most `limit` characters about the earliest query term; ellipses stand outside the limit."""
-    flat = collapsed(text)
     terms = F.filter(F.array_distinct(tokens(query)), lambda t: F.length(t) >= 2)
-    at = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(F.lower(flat), t) - 1), lambda p: p >= 0))
-    n = F.length(flat)
-    end = F.least(n, F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - limit // 3) + limit)
-    start = F.greatest(F.lit(0), end - limit)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), stripped(F.substring(flat, start + 1, F.lit(limit))), F.when(end < n, "…").otherwise(""))
-    return F.when(n <= limit, flat).otherwise(cut)
+
+    def passage(flat):
+        first = let(F.lower(flat), lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t) - 1), lambda p: p >= 0)))
+        return let(first, lambda at: let(F.least(F.length(flat), F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - limit // 3) + limit), lambda end: cut(flat, end)))
+
+    def cut(flat, end):
+        start = F.greatest(F.lit(0), end - limit)
+        return F.concat(F.when(start > 0, "…").otherwise(""), stripped(F.substring(flat, start + 1, F.lit(limit))), F.when(end < F.length(flat), "…").otherwise(""))
+
+    return let(collapsed(text), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(passage(flat)))
 
 
 # ---------------------------------------------------------------- normalisers and gold strings
