@@ -24,7 +24,7 @@ STILL_REQUIRED = "\n[检索约束] 提交答案前还需检索 %d 次，下一
 
 def observed(chunk: DataFrame, queries: DataFrame, top_k: int = 4, most: int = 1800, per_result: int = 520) -> DataFrame:
     """query_id, observation: what a first search (query_id, query) shows, each result by its passage about the query."""
-    found = retrieval.search(chunk, queries, top_k).join(chunk.select("chunk_id", "heading", "text"), "chunk_id").join(queries, "query_id")
+    found = retrieval.search(chunk, queries, top_k, fields=("heading", "text")).join(queries, "query_id")
     cut = found.select("query_id", "rank", "source", "heading", "raw_score", T.snippet(F.col("text"), F.col("query"), per_result).alias("snippet"))
     return M.observations(cut, most).select("query_id", "observation")
 
@@ -48,8 +48,7 @@ def step(turns: DataFrame, chunk: DataFrame, searches: int = 2, invalid: int = 2
     searching = t.where("action = 'search'").withColumn("_query", T.retrieval_query(F.col("_asked"), F.col("query"), F.col("bank")))
     q = searching.select(F.col("row_id").alias("query_id"), F.col("_query").alias("query"))
     seen = searching.where("search_count > 0").select(F.col("row_id").alias("query_id"), F.explode("retrieved_sources").alias("source"))
-    found = retrieval.search(chunk, q, top_k, candidate_k, quality_rerank, excluded=seen)
-    texts = found.join(chunk.select("chunk_id", "heading", "text"), "chunk_id").join(q, "query_id")
+    texts = retrieval.search(chunk, q, top_k, candidate_k, quality_rerank, excluded=seen, fields=("heading", "text")).join(q, "query_id")
     cut = texts.select("query_id", "rank", "source", "heading", "raw_score", T.snippet(F.col("text"), F.col("query"), per_result).alias("snippet"), "quality_category")
     t = t.join(M.observations(cut, most).withColumnRenamed("query_id", "row_id"), "row_id", "left")
 
