@@ -46,6 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
+def firsts(values: Column, key: Callable[[Column], Column]) -> Column:
+    """An array without elements whose key is that of one before, or null; a key is computed once for each element."""
+    keyed = F.transform(values, lambda x: F.struct(x.alias("value"), key(x).alias("key")))
+    return let(keyed, lambda k: F.transform(F.filter(k, lambda x, i: F.array_position(k.getField("key"), x.key) == i + 1), lambda x: x.value))
+
+
 def stripped(c: Column | str) -> Column:
     """Without white space of any kind at both ends. (As a function of one argument it is safe in F.transform,
     which hands a second one the index.)"""

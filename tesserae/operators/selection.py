@@ -155,9 +155,8 @@ def objective_share(kind: Column, split: Column) -> Column:
 def distinct_texts(values: Column) -> Column:
     """Values without repeats by their evidence form, without marks at their ends, of 256 characters at most, in order."""
     own = F.transform(values, lambda v: F.regexp_replace(F.regexp_replace(v, r"(?U)\s+", " "), "^[ ，,。；;：:]+|[ ，,。；;：:]+$", ""))
-    own = F.filter(own, lambda v: T.answer_free(v) != "")
-    keys = F.transform(own, T.answer_free)
-    return F.transform(F.filter(own, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1), lambda v: F.substring(v, 1, 256))
+    keyed = F.transform(own, lambda v: F.struct(v.alias("text"), T.answer_free(v).alias("key")))
+    return F.transform(T.firsts(F.filter(keyed, lambda x: x.key != ""), lambda x: x.key), lambda x: F.substring(x.text, 1, 256))
 
 
 def model_roles(name: Column) -> Column:

@@ -226,3 +226,11 @@ def test_postings_are_counted_in_their_rows(spark):
     terms = {t for _, t in want}
     assert {(x.term, x.df, x.cf) for x in retrieval.term_counts(chunk).collect()} == {(t, sum(u == t for _, u in want), sum(n for (_, u), n in want.items() if u == t)) for t in terms}
     assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_texts_make_a_key_once_a_value(spark):
+    values = F.array(*[F.concat(F.col("id").cast("string"), F.lit(x)) for x in (" a", ", A ", "", "b", "B.")])
+    plan = spark.range(3).select(selection.distinct_texts(values).alias("t"))
+    assert plan.where("id = 2").first().t == ["2 a", "2", "2b"]
+    assert spark.sql("select array('x', null, ' ', 'X.') v").select(selection.distinct_texts(F.col("v")).alias("t")).first().t == ["x"]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
