@@ -234,3 +234,10 @@ def test_distinct_texts_make_a_key_once_a_value(spark):
     assert plan.where("id = 2").first().t == ["2 a", "2", "2b"]
     assert spark.sql("select array('x', null, ' ', 'X.') v").select(selection.distinct_texts(F.col("v")).alias("t")).first().t == ["x"]
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_a_verdict_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"decision": "accept"}',), ("[1]",), ("{",), (None,)], "t string")
+    made = rows.select(selection.verdict_issue(F.col("t")).alias("i"))
+    assert [r.i for r in made.collect()] == ["schema_fields", "schema_not_object", "invalid_json", "invalid_json"]
+    assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 2
