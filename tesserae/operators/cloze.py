@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,27 +58,35 @@ def answers(sentence: Column) -> Column:
         return F.transform(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(group)), lambda a: F.struct(F.lit(kind).alias("kind"), T.stripped(a).alias("answer")))
 
     found = F.concat(*[named(*k) for k in kinds])
-    good = F.filter(found, lambda a: F.length(T.answer_free(a.answer)).between(2, 40) & ~T.answer_free(a.answer).isin(*BANNED_ANSWERS) & (_count(F.lower(sentence), F.lower(a.answer)) == 1))
-    keys = F.transform(good, lambda a: T.answer_free(a.answer))
-    return F.filter(good, lambda a, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    once = F.filter(found, lambda a: _count(F.lower(sentence), F.lower(a.answer)) == 1)
+    usable = lambda key: F.length(key).between(2, 40) & ~key.isin(*BANNED_ANSWERS)
+    return T.firsts(F.filter(once, lambda a: T.let(T.answer_free(a.answer), usable)), lambda a: T.answer_free(a.answer))
 
 
-def quality_issues(sentence: Column, answer: Column, kind: Column) -> Column:
-    """The names of all reasons why a sentence and answer make no question by themselves, sorted."""
+def _sentence_faults(sentence: Column) -> list[tuple[Column, str]]:
     count = lambda p: F.size(F.regexp_extract_all(sentence, F.lit(p), F.lit(0)))
     ideographs, english = count(IDEOGRAPH), count(ENGLISH_WORD)
-    at = F.locate("\x00", F.replace(F.lower(sentence), F.lower(answer), F.lit("\x00")))
-    hyphen = (at > 0) & ((F.substring(sentence, at - 1, F.lit(1)) == "-") & (at > 1) | (F.substring(sentence, at + F.length(answer), F.lit(1)) == "-") | answer.startswith("-") | answer.endswith("-"))
-    found = issues(
+    return [
         *[(sentence.rlike(p), name) for name, p in FRAGMENTS],
         ((_count(sentence, F.lit("|")) >= 2) | (_count(sentence, F.lit("\t")) >= 2), "table_fragment"), (~sentence.rlike(COMPLETE_END), "missing_sentence_terminator"),
         ((ideographs == 0) & (english > 0) & ~sentence.rlike(COMPLETE_ENGLISH), "english_title_fragment"),
         ((ideographs < 10) & (english < 8), "insufficient_sentence_context"), (~sentence.rlike(PREDICATE), "missing_semantic_predicate"),
+    ]
+
+
+def _answer_faults(sentence: Column, answer: Column, kind: Column) -> list[tuple[Column, str]]:
+    at = F.locate("\x00", F.replace(F.lower(sentence), F.lower(answer), F.lit("\x00")))
+    hyphen = (at > 0) & ((F.substring(sentence, at - 1, F.lit(1)) == "-") & (at > 1) | (F.substring(sentence, at + F.length(answer), F.lit(1)) == "-") | answer.startswith("-") | answer.endswith("-"))
+    return [
         ((kind == "acronym") & ~answer.rlike("^[A-Z]{3,10}$"), "code_like_acronym"), ((kind == "acronym") & T.answer_free(answer).isin(*BANNED_ANSWERS), "generic_acronym"),
         ((kind == "acronym") & hyphen, "hyphen_fragment"), ((kind == "numeric_unit") & F.replace(answer, F.lit(" "), F.lit("")).rlike(r"^0[1-9]\d*(?!\.)"), "malformed_leading_zero"),
         ((kind == "quoted_term") & ~sentence.rlike("是|为|指|称为|叫做|所谓|方法|工艺"), "ungrounded_quoted_term"),
-    )
-    return F.array_sort(F.array_distinct(found))
+    ]
+
+
+def quality_issues(sentence: Column, answer: Column, kind: Column) -> Column:
+    """The names of all reasons why a sentence and answer make no question by themselves, sorted."""
+    return F.array_sort(F.array_distinct(issues(*_sentence_faults(sentence), *_answer_faults(sentence, answer, kind))))
 
 
 def replaced_once(text: Column, part: Column, by: str) -> Column:
@@ -99,15 +110,20 @@ def candidates(chunk: DataFrame, per_source: int = 3) -> DataFrame:
     (chunk_id, source, heading, text) of class reference: the first acceptable answer of a sentence of 28 to 220 characters
     that has no blank and speaks of no answer itself, up to per_source of a source.
 
-    Sentences are in the order of chunk and place; a sentence that chunks share counts once. The limit by source
+    Sentences are in the order of chunk and place; a sentence that chunks share counts once. Faults of a sentence are looked
+    for before it is sent on, answers only in one copy of it, since they don't depend on its place. The limit by source
     is the operator's feature. It is a rank-limited window, so Spark keeps per_source rows of a source before it
     shuffles them.
     """
     reference = quality_category(F.col("source"), F.col("heading"), F.col("text")) == "reference"
     rows = chunk.where(~F.col("source").rlike(BANNED_SOURCE) & reference).select("chunk_id", "source", "heading", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    rows = rows.where(F.length("sentence").between(*SENTENCE_LENGTH) & ~F.col("sentence").rlike(BANNED_SENTENCE))
-    tried = rows.withColumn("a", F.get(F.filter(answers(F.col("sentence")), lambda a: F.size(quality_issues(F.col("sentence"), a.answer, a.kind)) == 0), 0)).where("a is not null")
-    first = tried.groupBy(F.sha2("sentence", 256).alias("candidate_id")).agg(F.min(F.struct("chunk_id", "pos", "source", "heading", "sentence", "a")).alias("c")).select("candidate_id", "c.*")
+    sentence = F.col("sentence")
+    sound = [~fault for fault, _ in _sentence_faults(sentence)]
+    kinds = sentence.rlike(NUMERIC) | sentence.rlike(ACRONYM) | sentence.rlike(QUOTED)
+    rows = rows.where(reduce(and_, [F.length(sentence).between(*SENTENCE_LENGTH), ~sentence.rlike(BANNED_SENTENCE), kinds, *sound]))
+    once = rows.groupBy(F.sha2("sentence", 256).alias("candidate_id")).agg(F.min(F.struct("chunk_id", "pos", "source", "heading", "sentence")).alias("c")).select("candidate_id", "c.*")
+    good = F.filter(answers(sentence), lambda a: ~reduce(or_, [fault for fault, _ in _answer_faults(sentence, a.answer, a.kind)]))
+    first = once.withColumn("a", F.get(good, 0)).where("a is not null")
     few = first.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("chunk_id", "pos"))).where(F.col("r") <= per_source)
     masked = replaced_once(F.col("sentence"), F.col("a.answer"), BLANK)
     out = few.select("candidate_id", "source", "heading", "sentence", masked.alias("masked_sentence"), F.col("a.answer").alias("answer"), F.col("a.kind").alias("answer_kind"))

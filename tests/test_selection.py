@@ -241,3 +241,13 @@ def test_a_verdict_is_parsed_once(spark):
     made = rows.select(selection.verdict_issue(F.col("t")).alias("i"))
     assert [r.i for r in made.collect()] == ["schema_fields", "schema_not_object", "invalid_json", "invalid_json"]
     assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 2
+
+
+def test_cloze_answers_are_looked_for_in_one_copy_of_a_sentence(spark):
+    text = "The blue ring part of our line is used for a thickness of 3 mm."
+    rows = [(i, f"s{i % 5}", "", text) for i in range(50)] + [(99, "s9", "", "See 5 mm there and 6 mm as well in a line of some words.")]
+    made = cloze.candidates(spark.createDataFrame(rows, "chunk_id long, source string, heading string, text string"))
+    assert [(r.source, r.sentence, r.answer) for r in made.collect()] == [("s0", text, "3 mm")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan.index("Aggregate")
+    assert "numeric_unit" in plan[:aggregate] and "numeric_unit" not in plan[aggregate:]
